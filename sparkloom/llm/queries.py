@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, quality, toxic
+from . import avi, mixing, packing, quality, toxic, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.bundles(table(spark, sf_dir, "pages")))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -21,12 +25,20 @@ def op5_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_toxicity": op3_toxicity, "op5_avi": op5_avi, "op9_quality": op9_quality}
+    return {"op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_avi": op5_avi, "op6_mixing": op6_mixing, "op8_packing": op8_packing, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
