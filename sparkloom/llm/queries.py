@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import avi, mixing, packing, quality, toxic, warc
+from . import ann, avi, mixing, packing, quality, toxic, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_avi": op5_avi, "op6_mixing": op6_mixing, "op8_packing": op8_packing, "op9_quality": op9_quality}
+    return {"op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_avi": op5_avi, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op8_packing": op8_packing, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
