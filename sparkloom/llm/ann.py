@@ -138,7 +138,7 @@ def nearest(table: DataFrame, queries, ident: str = "vec_id", vector: str = "emb
                 yield pd.DataFrame({"tree": t, "leaf": l, "q": p["q"].to_numpy()[i], "v": p["v"].to_numpy()[i]})
 
     rows = distinct.select("v", "ids").mapInPandas(dropped, f"tree int, leaf int, v {kind}, ids array<long>").withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int"))
-    probes = distinct.where("q is not null").repartition(64, "q").mapInPandas(asked, f"tree int, leaf int, q long, v {kind}").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("int"))
+    probes = distinct.where("q is not null").repartition(64, "q").mapInPandas(asked, f"tree int, leaf int, q long, v {kind}").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
 
     def answer(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(vs):
