@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, avi, mixing, packing, quality, toxic, warc
+from . import ann, avi, jaccard, mixing, packing, quality, toxic, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +42,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_avi": op5_avi, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op8_packing": op8_packing, "op9_quality": op9_quality}
+    return {"op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_avi": op5_avi, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
