@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, avi, jaccard, mixing, packing, quality, toxic, warc
+from . import ann, avi, jaccard, lm, mixing, packing, quality, toxic, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.bundles(table(spark, sf_dir, "pages")))
 
@@ -47,7 +51,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_avi": op5_avi, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
+    return {"op1_lm": op1_lm, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_avi": op5_avi, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,9 +17,10 @@ def folder(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
-    """The rows, written to the shared folder as Parquet and read again: lineage ends here, and lost executors lose nothing."""
+def written(df: DataFrame, name: str, big: bool = False) -> DataFrame:
+    """The rows, written to the shared folder as Parquet and read again: lineage ends here, and lost executors lose nothing. big: rows of megabytes, whose size the writer checks row by row."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition).parquet(path)
+    check = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"} if big else {}
+    df.write.options(**check).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

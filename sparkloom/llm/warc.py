@@ -143,7 +143,7 @@ def bundles(pages: DataFrame, ident: str = "page_id", url: str = "url", payload:
         if w.size:
             yield out()
 
-    return scratch.written(rows.select("__id", "__url", "__payload", "__refers_to").mapInArrow(write, "bundle string, archive binary"), "warc")
+    return scratch.written(rows.select("__id", "__url", "__payload", "__refers_to").mapInArrow(write, "bundle string, archive binary"), "warc", big=True)
 
 
 def read_back(archives: DataFrame) -> DataFrame:
