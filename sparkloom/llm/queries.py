@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, avi, jaccard, lm, mixing, packing, quality, toxic, warc
+from . import ann, avi, jaccard, lm, mixing, packing, quality, substr, toxic, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substr.duplicate_runs(table(spark, sf_dir, "documents"))
+
+
 def op5_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.media_digest(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm": op1_lm, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_avi": op5_avi, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
+    return {"op1_lm": op1_lm, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_substrings": op4_substrings, "op5_avi": op5_avi, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
