@@ -41,7 +41,7 @@ from .eliasfano import STEP, TrieLevel, WORD_BITS, log10_of, mapped, quantised
 from .shingles import mixed
 
 END, BEGIN = np.uint64(0x6E1D_0000_0000_0001), np.uint64(0xBE61_0000_0000_0001)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 HOT = 256
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.uint64((1 << WORD_BITS) - 1)
@@ -177,7 +177,7 @@ def _ngrams(messages: list[tuple]) -> tuple[list[bytes], list[dict]]:
     return out, sums
 
 
-def score(docs: DataFrame, order: int = 2, parts: int = 7, held: int = 2, shard_tokens: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 2, parts: int = 7, held: int = 2, shard_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     blocks = tokenised(docs, parts, held)
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
