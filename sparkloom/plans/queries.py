@@ -172,7 +172,7 @@ feats as (select *, case when tenure is null then 0.7 when tenure >= 24 then 1 w
   case when c_custkey % 90 - 1 < 0 then 0.5 else round(0.5 + 0.5 * least(1, (c_custkey % 90 - 1) / 70.0), 4) end::double as external_validation from feat),
 why as (select f.*, list_filter([
   case when years > 0 and longest > years * 12 + 6 then 'long' end, case when years > 0 and total > years * 12 * 1.5 + 24 then 'sum' end, case when idle >= 3 then 'idle' end,
-  (select case when arg_min(start > date '{D.REFERENCE}', o_orderkey) then 'future' else 'reversed' end from roles r where r.o_custkey = f.c_custkey and start > date '{D.REFERENCE}')], lambda x: x is not null) as reasons from feats f)
+  case when (select count(*) from roles r where r.o_custkey = f.c_custkey and start > date '{D.REFERENCE}') > 0 then 'future' end], lambda x: x is not null) as reasons from feats f)
 """
 
 
