@@ -46,6 +46,9 @@ def missing_keys() -> Column:
         need = [f.name for f in struct if f.name not in optional]
         return F.transform(F.array_except(F.array(*map(F.lit, need)), keys), lambda k: F.concat(F.lit(where), k))
 
+    def each(items: Column, struct: StructType, where: str, optional: set[str]) -> Column:
+        return F.flatten(F.transform(items, lambda x: lacks(x, struct, where, optional)))
+
     raw = F.col("raw")
     some = F.array().cast("array<string>")
     parts = [lacks(raw, RECORD, "", OPTIONAL)]
@@ -54,7 +57,7 @@ def missing_keys() -> Column:
         parts.append(F.when(inner.isNotNull(), lacks(inner, struct, f"{name}.", OPTIONAL)).otherwise(some))
     for name, struct, free in (("career_history", ROLE, OPTIONAL), ("education", EDUCATION, OPTIONAL), ("skills", SKILL, OPTIONAL | {"duration_months"}), ("certifications", CERTIFICATE, OPTIONAL), ("languages", LANGUAGE, OPTIONAL)):
         items = F.coalesce(F.from_json(F.get_json_object(raw, f"$.{name}"), "array<string>"), some)
-        parts.append(F.flatten(F.transform(items, lambda x, s=struct, n=name, o=free: lacks(x, s, f"{n}[].", o))))
+        parts.append(each(items, struct, f"{name}[].", free))
     return F.array_distinct(F.concat(*parts))
 
 
