@@ -9,8 +9,8 @@ ordinary AVI; ``parse_avi`` and ``decode_jpeg`` also read frames with AC terms.
 
 Null or empty text counts as no bytes and is stored as one frame of blanks. Ties
 and repeated rows need no care, rows are independent; extra input columns are kept
-by ``media_column`` and ``clip_rows`` unless a name of theirs clashes, in which
-case ValueError is raised before any work is done.
+by ``media_column`` and ``clip_rows``, but for those named like a column they add,
+which give way to it.
 """
 
 from __future__ import annotations
@@ -284,14 +284,13 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return raw + b" " * (-n % FRAME if n else FRAME), n
 
 
-def _add(df: DataFrame, names: list[str]) -> None:
-    if clash := sorted({c.lower() for c in df.columns} & set(names)):
-        raise ValueError(f"columns {clash} are in the input already")
+def _without(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.lower() in names])
 
 
 def media_column(df: DataFrame, text: str = "text") -> DataFrame:
     """The input's rows with a binary column `media`: the AVI of each row's text."""
-    _add(df, ["media"])
+    df = _without(df, "media")
     schema = StructType([*df.schema.fields, StructField("media", BinaryType())])
 
     def run(batches):
@@ -303,8 +302,8 @@ def media_column(df: DataFrame, text: str = "text") -> DataFrame:
 
 def clip_rows(df: DataFrame, media: str = "media") -> DataFrame:
     """One row for each shot of each row's AVI: the input's other columns and clip, start_s, end_s, frames, level. Null media give no row."""
+    df = _without(df, "clip", "start_s", "end_s", "frames", "level")
     rest = df.drop(media)
-    _add(rest, ["clip", "start_s", "end_s", "frames", "level"])
     clip = StructType([StructField("clip", IntegerType()), StructField("start_s", DoubleType()), StructField("end_s", DoubleType()), StructField("frames", IntegerType()), StructField("level", DoubleType())])
     cells = F.pandas_udf(lambda s: s.map(lambda m: [] if m is None else [dict(zip(clip.names, c, strict=True)) for c in clips_of(bytes(m))[1]]), ArrayType(clip))
     return df.withColumn("__clips", cells(F.col(media))).select(*rest.columns, F.inline("__clips"))

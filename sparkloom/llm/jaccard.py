@@ -120,11 +120,11 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     least = entries.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
-    ties = entries.join(least, "bucket").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    ties = scratch.joined(entries, least, "bucket").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
     star = components(ties)
     member = star.union(star.select(F.col("root").alias("node"), "root").distinct())
     sizes = member.groupBy("root").agg(F.count("*").alias("size"))
-    member = member.join(sizes, "root").withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
+    member = scratch.joined(member, sizes, "root").withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
     wanted = member.join(nodes.select("node", "first_id", "copies"), "node").select("first_id", "node", "copies", "root", "chunks")
 
     def sets(frames):

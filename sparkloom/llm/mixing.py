@@ -16,7 +16,7 @@ A null source is a source of its own. Without weights, a source's weight is the
 square root of its number of documents; a source that `weights` leaves out, or gives
 none, comes after all others. Rows with equal ids are told apart by no order but
 fill places of their own. Empty texts count as documents. An input column that is
-named like an output of `schedule` raises ValueError.
+named like an output of `schedule` gives way to it; `mixed` keeps every column.
 """
 
 from __future__ import annotations
@@ -84,8 +84,7 @@ def phases(blocks: list[int], weights: list[float], period: int) -> list[dict]:
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 64, period: int = 1000) -> DataFrame:
     """The input's rows with block (of their source, from 1), slot (of the block in the mix, from 0) and place (in the block, from 0)."""
-    if clash := sorted({c.lower() for c in docs.columns} & set(OUT)):
-        raise ValueError(f"columns {clash} are in the input already")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in OUT])
     x = docs.withColumn("__h", F.xxhash64("doc_id")).withColumn("__bucket", F.pmod("__h", F.lit(BUCKETS)).cast("int")).withColumn("__source", F.to_json(F.struct("source")))
     counts = x.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
     sizes = sorted((r[0], r[1], r[2]) for r in counts.groupBy("__source").agg(F.sum("__n")).select("__source", F.get_json_object("__source", "$.source"), "sum(__n)").collect())
@@ -109,4 +108,5 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_doc
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The input's rows in the order of the mix: ranges of slots in ascending partitions."""
-    return schedule(docs, **how).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    rows = docs.select("doc_id", "source", F.struct("*").alias("row"))
+    return schedule(rows, **how).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")

@@ -69,7 +69,7 @@ def prior_of(pos: np.ndarray, unl: np.ndarray, least: float = 0.05) -> float:
     """Least ratio of the unlabelled to the positive share above a threshold: only positives lie there at best. Thresholds that keep less than `least` of the positives are too noisy."""
     cuts = np.quantile(pos, np.linspace(0, 1 - least, 60))
     up, uu = np.array([(pos >= c).mean() for c in cuts]), np.array([(unl >= c).mean() for c in cuts])
-    noise = 2 * np.sqrt(uu * (1 - uu) / len(unl) + up * (1 - up) / len(pos))
+    noise = np.sqrt(uu * (1 - uu) / len(unl) + up * (1 - up) / len(pos))
     return float(np.clip(np.min((uu + noise) / up), 0.02, 0.98))
 
 

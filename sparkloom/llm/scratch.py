@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -17,6 +18,17 @@ def folder(spark: SparkSession) -> str:
     return at
 
 
+def joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on a whole-number key that may be hot on the left and occurs once on the right.
+
+    The right side is often a sum by that same key. Under its own name the key would let
+    the join run in the sum's partitions, which Spark can't split; through an expression
+    both sides are shuffles of their own, and those of a hot key are split at run time.
+    """
+    right = right.withColumn("__key", F.col(key).bitwiseXOR(F.lit(0))).drop(key)
+    return left.join(right, left[key] == right["__key"]).drop("__key")
+
+
 def written(df: DataFrame, name: str, big: bool = False) -> DataFrame:
     """The rows, written to the shared folder as Parquet and read again: lineage ends here, and lost executors lose nothing. big: rows of megabytes, whose size the writer checks row by row."""
     spark = df.sparkSession

@@ -90,7 +90,7 @@ def band_hashes(g: np.ndarray, p: np.ndarray, bands: int, seed: int = 9) -> np.n
 def _messages(docs: DataFrame, bands: int, shards: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            for at, texts in shingles.slices(b.column(1), 16 << 20):
+            for at, texts in shingles.slices(b.column(1), 6 << 20):
                 doc, _, content, p, g = paragraphs(texts)
                 if not len(p):
                     continue
@@ -175,7 +175,7 @@ def _near_ties(texts: DataFrame, near: DataFrame, places: DataFrame, threshold:
     return found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
 
 
-def duplicate_runs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, shard_chars: int = 8 << 20) -> DataFrame:
+def duplicate_runs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, shard_chars: int = 4 << 20) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards, bands = max(1, math.ceil(chars / shard_chars)), shingles.tune(threshold, recall, ROWS)
@@ -188,7 +188,7 @@ def duplicate_runs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95
     nodes = nodes.join(root, nodes["content"] == root["node"], "left").select("content", F.coalesce("root", "content").alias("class"))
     seen = places.join(nodes, "content").select("class", "doc_id", "word")
     keep = seen.groupBy("class").agg(F.min(F.struct("doc_id", "word")).alias("k"), F.max("doc_id").alias("last")).where("k.doc_id < last")
-    seen = seen.join(keep.select("class", "k"), "class").select("doc_id", "word", F.col("k.doc_id").alias("class_id"), (F.struct("doc_id", "word") != F.col("k")).alias("removed"))
+    seen = scratch.joined(seen, keep.select("class", "k"), "class").select("doc_id", "word", F.col("k.doc_id").alias("class_id"), (F.struct("doc_id", "word") != F.col("k")).alias("removed"))
     # Words under several paragraphs: what one of them removes is removed. Runs begin where no earlier paragraph of the kind reaches.
     cells = seen.groupBy("doc_id", "word").agg(F.min("class_id").alias("class_id"), F.max("removed").alias("removed"))
     w = Window.partitionBy("doc_id", "removed").orderBy("word")
