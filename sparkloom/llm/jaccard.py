@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, shingles
 from .components import components
+from .memory import trim
 
 ROWS = 9
 
@@ -108,6 +109,7 @@ def _verify(threshold: float):
                 held.append(r)
             if out:
                 yield pd.concat(out, ignore_index=True)
+            trim()
         if held:
             yield flush(held)
 

@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, scratch, shingles
-from .eliasfano import STEP, TrieLevel, WORD_BITS, log10_of, mapped, quantised
+from .eliasfano import WORD_BITS, TrieLevel, log10_of, mapped, quantised
+from .memory import trim
 from .shingles import mixed
 
 END, BEGIN = np.uint64(0x6E1D_0000_0000_0001), np.uint64(0xBE61_0000_0000_0001)
@@ -212,6 +213,8 @@ def score(docs: DataFrame, order: int = 2, parts: int = 7, held: int = 2, shard_
             out, n, v = _unigrams(messages)
         else:
             out, sums = _ngrams(messages)
+        del messages
+        trim()
         first = [True] + [False] * (len(out) - 1)
         return pd.DataFrame({"shard": shard, "block": p["block"], "answer": out, "n": [n * f for f in first], "v": [v * f for f in first], "sums": [sums if f else [] for f in first]})
 
@@ -259,6 +262,7 @@ def score(docs: DataFrame, order: int = 2, parts: int = 7, held: int = 2, shard_
                 p[w] = direct[i] + weight[i] * p[w]
             sums = [np.add.reduceat(x, block.begin) if len(block.begin) else np.zeros(0) for x in (count > 0, np.log10((count + 1) / (n_all + v_all + 1)), np.log10(p))]
             out.append(pa.table([pa.array(block.ids, pa.int64()), pa.array(block.out), pa.array(block.n.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(block.ids), n_all, np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=schema))
+        trim()
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return blocks.select("block", "payload").groupBy("block").cogroup(answers.select("block", "shard", "answer").groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .memory import trim
 
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -100,6 +101,8 @@ def score(docs: DataFrame, model, threshold: float, keep_columns: bool = False,
                 if b.num_rows:
                     t = b.column(b.schema.get_field_index("text")).to_pylist()
                     yield b.filter(pa.array((scores_of(t, model) if model is not None else np.zeros(len(t))) >= threshold))
+                    del b, t
+                    trim()
 
         return docs.mapInArrow(keep, docs.schema)
 

@@ -9,7 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 4 << 20
+from .memory import trim
+
+SLICE_BYTES = 2 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -21,18 +23,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) of consecutive slices of about so many bytes."""
+    """(first row, rows) of consecutive slices of about so many bytes. Memory is given back after the last."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
         yield a, texts.slice(a, b - a)
         a = b
+    trim()
 
 
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Word starts of each text (one more than texts), word codes, and the distinct words by code. Words are runs between ASCII white space; null texts have none."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # Copied first: ascii_lower doesn't read slices of large strings rightly.
+    texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
     lists = pc.ascii_split_whitespace(pc.utf8_lower(texts) if lower else pc.ascii_lower(texts))
     flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]

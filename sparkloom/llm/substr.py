@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 
 from . import jaccard, scratch, shingles
 from .components import components
+from .memory import trim
 from .shingles import mixed
 
 N, SPAN, REACH, ROWS = 5, 20, 5, 2
@@ -132,6 +133,7 @@ def _collide(p: pd.DataFrame) -> pd.DataFrame:
     size = np.diff(np.append(head, len(band)))
     mixed_docs = np.logical_or.reduceat(many, head) | (np.minimum.reduceat(low, head) != np.maximum.reduceat(high, head))
     near = np.repeat((size > 1) & mixed_docs, size)
+    trim()
     a = pd.DataFrame({"content": content[many].view(np.int64), "bucket": None, "size": 1}).drop_duplicates("content")
     b = pd.DataFrame({"content": content[near].view(np.int64), "bucket": band[near].view(np.int64), "size": np.repeat(size, size)[near]})
     return pd.concat([a, b], ignore_index=True).astype({"bucket": "Int64"})

@@ -152,6 +152,16 @@ def test_words_and_shingles(texts):
     assert [len(set(g[a:b].tolist())) for a, b in zip(s[:-1], s[1:], strict=True)] == sets
 
 
+@pytest.mark.parametrize("lower", [True, False])
+def test_slices_hold_every_word(lower):
+    rng = random.Random(9)
+    texts = [None if rng.random() < 0.1 else " ".join(rng.choice(["Ab", "c", "É"]) for _ in range(rng.randrange(60))) for _ in range(500)]
+    n = []
+    for _, part in shingles.slices(pa.array(texts, pa.string()), 1000):
+        n += np.diff(shingles.words(part, lower)[0]).tolist()
+    assert n == [len((t or "").split()) for t in texts]
+
+
 def test_links_of_a_large_block():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 1 << 60, 200).astype(np.uint64))
