@@ -32,6 +32,7 @@ import pickle
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard as zstd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,14 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.uint64((1 << WORD_BITS) - 1)
 
 
+def _packed(x) -> bytes:
+    return zstd.ZstdCompressor(level=1).compress(pickle.dumps(x, 5))
+
+
+def _unpacked(x):
+    return pickle.loads(zstd.ZstdDecompressor().decompress(x))
+
+
 def tokenised(docs: DataFrame, parts: int, held: int) -> DataFrame:
     """Blocks: block, tokens (of training texts), hot (words and their numbers), payload (ids, held-out flags, learned flags, starts, codes, word hashes)."""
 
@@ -62,7 +71,7 @@ def tokenised(docs: DataFrame, parts: int, held: int) -> DataFrame:
                 n = np.bincount(codes, np.repeat(learn, np.diff(starts)), minlength=len(h)).astype(np.int64)
                 tokens = int(n.sum() + learn.sum())
                 hot = np.flatnonzero(n * HOT > tokens)
-                payload = pickle.dumps((ids, out, learn, starts, codes.astype(np.int32), h), 5)
+                payload = _packed((ids, out, learn, starts, codes.astype(np.int32), h))
                 yield pa.RecordBatch.from_pylist([{"block": f"{task}-{k}", "tokens": tokens, "hot": [{"h": int(x), "n": int(y)} for x, y in zip(h[hot].view(np.int64), n[hot], strict=True)], "payload": payload}], schema=pa.schema([("block", pa.string()), ("tokens", pa.int64()), ("hot", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))), ("payload", pa.binary())]))
                 k += 1
 
@@ -75,7 +84,7 @@ class Block:
     """The distinct n-grams of a block's texts, by order, in an order that only depends on the block."""
 
     def __init__(self, payload: bytes, order: int, hot: np.ndarray, shards: int):
-        self.ids, self.out, learn, starts, codes, h = pickle.loads(payload)
+        self.ids, self.out, learn, starts, codes, h = _unpacked(payload)
         m = len(self.ids)
         self.words = np.concatenate([h, [END]]).astype(np.uint64)
         self.n = np.diff(starts) + 1
@@ -138,7 +147,7 @@ def _unigrams(messages: list[tuple]) -> tuple[list[bytes], int, int]:
     out, at = [], 0
     for m in messages:
         c = total[inverse[at : at + len(m[0])]]
-        out.append(pickle.dumps(c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c, 5))
+        out.append(_packed(c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c))
         at += len(m[0])
     return out, int(total.sum()), int((total > 0).sum())
 
@@ -172,7 +181,7 @@ def _ngrams(messages: list[tuple]) -> tuple[list[bytes], list[dict]]:
     out, at, at_c = [], 0, 0
     for m in messages:
         n = len(m[5])
-        out.append(pickle.dumps((code[inverse[at : at + n]], backoff[c_inv[at_c : at_c + len(m[0])]]), 5))
+        out.append(_packed((code[inverse[at : at + n]], backoff[c_inv[at_c : at_c + len(m[0])]])))
         at, at_c = at + n, at_c + len(m[0])
     sums = [{"h": int(h), "c": int(a), "t": int(b)} for h, a, b in zip(contexts[split].view(np.int64), c[split], t[split], strict=True)]
     return out, sums
@@ -193,7 +202,7 @@ def score(docs: DataFrame, order: int = 2, parts: int = 7, held: int = 2, shard_
                 rows: list[tuple] = []
                 size = 0
                 for shard, k, e in block.sent():
-                    rows.append((shard * (order + 1) + k, name, x := pickle.dumps(block.message(k, e), 5)))
+                    rows.append((shard * (order + 1) + k, name, x := _packed(block.message(k, e))))
                     size += len(x)
                     if size > 4 << 20:
                         yield _batch(rows)
@@ -206,7 +215,7 @@ def score(docs: DataFrame, order: int = 2, parts: int = 7, held: int = 2, shard_
 
     def answer(p: pd.DataFrame) -> pd.DataFrame:
         shard = int(p["shard"].iloc[0])
-        messages = [pickle.loads(x) for x in p["message"]]
+        messages = [_unpacked(x) for x in p["message"]]
         n = v = 0
         sums: list[dict] = []
         if shard % (order + 1) == 1:
@@ -238,7 +247,7 @@ def score(docs: DataFrame, order: int = 2, parts: int = 7, held: int = 2, shard_
             count = np.zeros(len(block.words), np.int64)
             for shard, k, e in block.sent():
                 if k == 1:
-                    count[e] = pickle.loads(replies[shard, k])
+                    count[e] = _unpacked(replies[shard, k])
             count = count[level["inverse"]]
             p = (count + v_all / (v_all + 1) if v_all else np.ones(len(count))) / max(1, n_all + v_all)
             for k in range(2, order + 1):
@@ -246,7 +255,7 @@ def score(docs: DataFrame, order: int = 2, parts: int = 7, held: int = 2, shard_
                 value, back = np.zeros(len(level["word"]), np.uint16), np.zeros(len(level["word"]), np.uint16)
                 for shard, kk, e in block.sent():
                     if kk == k:
-                        value[e], b = pickle.loads(replies[shard, k])
+                        value[e], b = _unpacked(replies[shard, k])
                         first = _runs(level["ctx"][e])
                         back[e] = np.repeat(b, np.diff(np.append(first, len(e))))
                 direct = np.where(value > 0, 10.0 ** log10_of(value.astype(float)), 0.0)
