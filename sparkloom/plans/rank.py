@@ -15,8 +15,7 @@ from ..sources.records import SIGNALS_KEY, read_records
 
 def prepared(records: DataFrame, p: RankProfile) -> DataFrame:
     """Records with signals, features, honeypot_reasons, is_honeypot and behavioral_mult."""
-    x = records if "signals" in records.columns else records.withColumnRenamed(SIGNALS_KEY, "signals")
-    x = features.with_features(x, p)
+    x = features.with_features(records, p)
     x = x.withColumn("honeypot_reasons", consistency.contradiction_reasons(p))
     return x.withColumns({"is_honeypot": F.size("honeypot_reasons") > 0, "behavioral_mult": behaviour.multiplier(F.col("signals"), p.reference_date)})
 
@@ -54,10 +53,10 @@ def submission(scored: DataFrame, n: int = 100) -> DataFrame:
     return top.select("candidate_id", "rank", "score", reasoning.reasoning(F.col("profile.current_title"), F.col("profile.years_of_experience")).alias("reasoning"))
 
 
-def produce(spark: SparkSession, records_path: str, vectors: DataFrame, profile_path: str, out: str, encode: Callable[[list[str]], list], n: int = 100, logits: DataFrame | None = None) -> list[str]:
+def produce(spark: SparkSession, records_path: str, vectors: DataFrame, profile_path: str, out: str, encode: Callable[[list[str]], list], n: int = 100, logits: DataFrame | None = None, signals_key: str = SIGNALS_KEY) -> list[str]:
     """Reads, ranks, writes the CSV and checks it; the faults found, none for a good file."""
     p = load_profile(profile_path)
-    records = read_records(spark, records_path)
+    records = read_records(spark, records_path, signals_key=signals_key)
     ordered = p.ordered_aspects()
     q = [[float(v) for v in e] for e in encode([a.query_text for _, a in ordered])]
     aspects = spark.createDataFrame(list(zip([a for a, _ in ordered], q, strict=True)), "query string, q array<double>")
@@ -74,10 +73,11 @@ def main() -> None:
     a.add_argument("--profile", required=True)
     a.add_argument("--out", required=True)
     a.add_argument("--n", type=int, default=100)
+    a.add_argument("--signals-key", default=SIGNALS_KEY, help="the records' field of engagement signals")
     o = a.parse_args()
     spark = SparkSession.builder.getOrCreate()
     p = load_profile(o.profile)
-    records = read_records(spark, o.records)
+    records = read_records(spark, o.records, signals_key=o.signals_key)
     found = retrieve(records, spark.read.parquet(o.vectors), spark.read.parquet(o.aspects), p)
     scoring.write_submission(submission(score(records, found, p), o.n), o.out)
     faults = scoring.validate_submission(o.out, o.n)

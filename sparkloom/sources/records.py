@@ -27,9 +27,15 @@ SIGNALS = StructType([
     *_struct("d", "github_activity_score"), *_struct("i", "search_appearance_30d saved_by_recruiters_30d"), *_struct("d", "interview_completion_rate offer_acceptance_rate"),
     *_struct("b", "verified_email verified_phone linkedin_connected"),
 ])
-#: The signals' field in a record. The name is part of the format.
-SIGNALS_KEY = "redrob_signals"
-RECORD = StructType([StructField("candidate_id", StringType()), StructField("profile", PROFILE), StructField("career_history", ArrayType(ROLE)), StructField("education", ArrayType(EDUCATION)), StructField("skills", ArrayType(SKILL)), StructField("certifications", ArrayType(CERTIFICATE)), StructField("languages", ArrayType(LANGUAGE)), StructField(SIGNALS_KEY, SIGNALS)])
+#: The field of the engagement signals in our tables; files may have it under another name.
+SIGNALS_KEY = "signals"
+
+
+def record_type(signals_key: str = SIGNALS_KEY) -> StructType:
+    return StructType([StructField("candidate_id", StringType()), StructField("profile", PROFILE), StructField("career_history", ArrayType(ROLE)), StructField("education", ArrayType(EDUCATION)), StructField("skills", ArrayType(SKILL)), StructField("certifications", ArrayType(CERTIFICATE)), StructField("languages", ArrayType(LANGUAGE)), StructField(signals_key, SIGNALS)])
+
+
+RECORD = record_type()
 OPTIONAL = {"certifications", "languages", "grade", "tier"}
 
 
@@ -38,7 +44,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("raw")).where(F.trim("raw") != "")
 
 
-def missing_keys() -> Column:
+def missing_keys(signals_key: str = SIGNALS_KEY) -> Column:
     """Names of required keys that `raw` lacks; a key that holds null is there."""
 
     def lacks(json: Column, struct: StructType, where: str, optional: set[str]) -> Column:
@@ -51,8 +57,8 @@ def missing_keys() -> Column:
 
     raw = F.col("raw")
     some = F.array().cast("array<string>")
-    parts = [lacks(raw, RECORD, "", OPTIONAL)]
-    for name, struct in (("profile", PROFILE), (SIGNALS_KEY, SIGNALS)):
+    parts = [lacks(raw, record_type(signals_key), "", OPTIONAL)]
+    for name, struct in (("profile", PROFILE), (signals_key, SIGNALS)):
         inner = F.get_json_object(raw, f"$.{name}")
         parts.append(F.when(inner.isNotNull(), lacks(inner, struct, f"{name}.", OPTIONAL)).otherwise(some))
     for name, struct, free in (("career_history", ROLE, OPTIONAL), ("education", EDUCATION, OPTIONAL), ("skills", SKILL, OPTIONAL | {"duration_months"}), ("certifications", CERTIFICATE, OPTIONAL), ("languages", LANGUAGE, OPTIONAL)):
@@ -61,31 +67,32 @@ def missing_keys() -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def parse_records(raw: DataFrame, strict: bool = True) -> DataFrame:
+def parse_records(raw: DataFrame, strict: bool = True, signals_key: str = SIGNALS_KEY) -> DataFrame:
     """Typed records. A malformed line, or with `strict` one that lacks a required key, ends the job with an error that names it."""
-    rec = F.from_json("raw", RECORD, {"mode": "FAILFAST"})
+    kind = record_type(signals_key)
+    rec = F.from_json("raw", kind, {"mode": "FAILFAST"})
     if strict:
-        lacking = missing_keys()
+        lacking = missing_keys(signals_key)
         message = F.concat(F.lit("record "), F.coalesce(F.get_json_object("raw", "$.candidate_id"), F.lit("?")), F.lit(" lacks "), F.array_join(lacking, ", "))
-        rec = F.when(F.size(lacking) == 0, rec).otherwise(F.raise_error(message).cast(RECORD))
-    x = raw.select("raw", rec.alias("r")).select("raw", "r.*")
+        rec = F.when(F.size(lacking) == 0, rec).otherwise(F.raise_error(message).cast(kind))
+    x = raw.select("raw", rec.alias("r")).select("raw", "r.*").withColumnRenamed(signals_key, SIGNALS_KEY)
     for c in ("career_history", "education", "skills", "certifications", "languages"):
         x = x.withColumn(c, F.coalesce(c, F.array().cast(RECORD[c].dataType)))
     return x
 
 
-def read_records(spark: SparkSession, path: str, limit: int | None = None, strict: bool = True) -> DataFrame:
-    """Typed records of a JSON lines file or folder."""
+def read_records(spark: SparkSession, path: str, limit: int | None = None, strict: bool = True, signals_key: str = SIGNALS_KEY) -> DataFrame:
+    """Typed records of a JSON lines file or folder; the signals come under `signals_key` and go to `signals`."""
     raw = read_raw(spark, path)
-    return parse_records(raw if limit is None else raw.limit(limit), strict)
+    return parse_records(raw if limit is None else raw.limit(limit), strict, signals_key)
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
+def read_any(spark: SparkSession, path: str, signals_key: str = SIGNALS_KEY) -> DataFrame:
     """Records of a JSON array or of JSON lines, by the first character."""
     first = read_raw(spark, path).select(F.substring(F.ltrim("raw"), 1, 1)).first()
     if first and first[0] == "[":
-        return spark.read.schema(RECORD).option("multiLine", True).json(path)
-    return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
+        return spark.read.schema(record_type(signals_key)).option("multiLine", True).json(path).withColumnRenamed(signals_key, SIGNALS_KEY)
+    return spark.read.schema(record_type(signals_key)).option("mode", "FAILFAST").json(path).withColumnRenamed(signals_key, SIGNALS_KEY)
 
 
 def by_ids(records: DataFrame, ids: DataFrame) -> DataFrame:
