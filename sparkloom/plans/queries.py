@@ -465,7 +465,7 @@ def weight_grid(spark, sf_dir):
 
 
 def _cache(spark, sf_dir):
-    return scored(spark, sf_dir).where("c_custkey < 300").select("candidate_id", *WEIGHTS, "is_honeypot", "behavioral_mult", "final_score")
+    return scored(spark, sf_dir).select("candidate_id", "c_custkey", *WEIGHTS, "is_honeypot", "behavioral_mult", "final_score")
 
 
 _others = " + ".join(f"{WEIGHTS[f] / _small} * {f}" for f in sweep.OTHERS)
@@ -478,13 +478,19 @@ rr as (select *, row_number() over (partition by config order by round(f, 12) de
 
 @query(f"with {SWEEP} select config, candidate_id, rank::int as rank from rr where rank <= 20")
 def sweep_rerank(spark, sf_dir):
+    """Of the customers that its SQL takes; sweep_rerank_all has the whole table."""
+    return sweep.reranked(_cache(spark, sf_dir).where("c_custkey < 300"), sweep.weight_grid(spark)).where("rank <= 20").select("config", "candidate_id", "rank")
+
+
+@query()
+def sweep_rerank_all(spark, sf_dir):
     return sweep.reranked(_cache(spark, sf_dir), sweep.weight_grid(spark)).where("rank <= 20").select("config", "candidate_id", "rank")
 
 
 @query()
 def sweep_best(spark, sf_dir):
     """Best settings on train and the one chosen on val; grades are the rubric's."""
-    g = grading.graded(records(spark, sf_dir), D.PROFILE).where("c_custkey < 300").select("candidate_id", F.col("grade").cast("double").alias("grade"))
+    g = grading.graded(records(spark, sf_dir), D.PROFILE).select("candidate_id", F.col("grade").cast("double").alias("grade"))
     return sweep.run_sweep(_cache(spark, sf_dir), g)
 
 

@@ -49,3 +49,32 @@ def test_entry(spark):
 
 def test_sweep_chooses_one(spark, sf_dir):
     assert sum(r["chosen"] for r in QUERIES["sweep_best"](spark, sf_dir).collect()) == 1
+
+
+def test_sweep_covers_the_whole_table(spark, monkeypatch):
+    from sparkloom.functions.lexicons import WEIGHTS
+    from sparkloom.operators import sweep
+    from sparkloom.plans import driver, queries
+
+    sf, seen = "/root/testdata/sf0.01", {}
+    run = sweep.run_sweep
+    monkeypatch.setattr(sweep, "run_sweep", lambda cache, grades: seen.update(cache=cache, grades=grades) or run(cache, grades))
+    QUERIES["sweep_best"](spark, sf)
+    people = driver.table(spark, sf, "customer").count()
+    assert people > 300
+    assert seen["cache"].count() == seen["grades"].count() == people
+    cache = queries._cache(spark, sf).collect()
+    got = {}
+    for r in QUERIES["sweep_rerank_all"](spark, sf).collect():
+        got.setdefault(r["config"], []).append((r["rank"], r["candidate_id"]))
+    for w in sweep.weight_grid(spark).collect():
+        scores = []
+        for r in cache:
+            some = [f for f in WEIGHTS if r[f] is not None]
+            low = sum(w[f"w_{f}"] for f in some)
+            score = -1.0 if r["is_honeypot"] else (sum(r[f] * w[f"w_{f}"] for f in some) / low if low else 0.0) * r["behavioral_mult"]
+            scores.append((-round(score, 9), r["candidate_id"]))
+        best = dict((c, s) for s, c in scores)
+        mine = [c for _, c in sorted(got[w["config"]])]
+        assert [best[c] for c in mine] == [s for s, _ in sorted(scores)[:20]]
+    assert QUERIES["faithfulness"](spark, sf).count() == 0
