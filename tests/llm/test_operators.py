@@ -186,6 +186,18 @@ def test_mixing(docs, odd, none, odd_rows):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+@pytest.mark.parametrize("weights", [[10.0] + [1.0] * 7, [3.0, 1.0, 1.0], [1.0, 1e-4]])
+def test_mixing_holds_the_given_weights(spark, weights):
+    total, rows = sum(weights), 6000
+    kind = F.element_at(F.array([F.lit(f"s{k}") for k, w in enumerate(weights) for _ in range(max(1, round(w)))]), F.pmod("id", F.lit(sum(max(1, round(w)) for w in weights))).cast("int") + 1)
+    got = mixing.schedule(spark.range(rows).select(F.col("id").alias("doc_id"), kind.alias("source")), {f"s{k}": w for k, w in enumerate(weights)}, block_docs=1).collect()
+    slots = [np.sort([r["slot"] for r in got if r["source"] == f"s{k}"]) for k in range(len(weights))]
+    assert sorted(np.concatenate(slots)) == list(range(rows))
+    t = np.arange(1, min(s[-1] for s in slots) + 2)  # until a source runs out
+    for s, w in zip(slots, weights, strict=True):
+        assert (np.abs(np.searchsorted(s, t) - w / total * t) < 1).all()
+
+
 # ---------------------------------------------------------------- 7
 
 
