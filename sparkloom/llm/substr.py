@@ -14,6 +14,11 @@ its least (doc_id, word) is, and removed elsewhere.
 A slice sends each distinct paragraph once, so that a passage in a third of all texts
 adds a row for each slice; buckets of many variants are verified in pairs of blocks.
 
+Beginnings are a sample, so a run of paragraphs stops short of its passage. Each end of
+a removed run is therefore compared word by word with the kept copy, and both copies'
+runs grow by what is equal. What is compared with reaches to the kept text's next
+beginnings on that side: a passage that goes on beyond them has paragraphs there.
+
 Result: one row for each maximal run of duplicate words of a document: doc_id,
 first_word, end_word (exclusive), removed, class_id (the doc_id that keeps the run's
 first paragraph). Documents without any have no row. Null and short texts (less than
@@ -41,6 +46,7 @@ from .memory import trim
 from .shingles import mixed
 
 N, SPAN, REACH, ROWS = 5, 20, 5, 2
+AWAY = 1
 BLOCK = 512
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,6 +183,75 @@ def _near_ties(texts: DataFrame, near: DataFrame, places: DataFrame, threshold:
     return found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
 
 
+def _outward(h: np.ndarray, word: int, side: int) -> np.ndarray:
+    """The words before a paragraph, last first, or after it."""
+    return h[:word][::-1] if side < 0 else h[word + SPAN :]
+
+
+def reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many words of each of two texts, read away from equal paragraphs, go on being equal."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return (int(other[0]),) * 2 if len(other) else (n, n)
+
+
+def _text_words(f: pd.DataFrame):
+    """(row of the frame, word hashes, first words of its paragraphs) of each text."""
+    for k, t in shingles.slices(pa.array(f["text"], pa.string())):
+        starts, codes, distinct = shingles.words(t)
+        h = shingles.hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+        doc, word, *_ = paragraphs(t)
+        at = np.searchsorted(doc, np.arange(len(t) + 1))
+        for i in range(len(t)):
+            yield k + i, h[starts[i] : starts[i + 1]], word[at[i] : at[i + 1]]
+
+
+def _windows(frames):
+    for f in frames:
+        rows = []
+        for i, h, begin in _text_words(f):
+            for want in f["wanted"].iat[i]:
+                word, side = want["k_word"], want["side"]
+                n = int(np.searchsorted(begin, word))
+                if n == len(begin) or begin[n] != word:
+                    continue  # of another row of the same id
+                b = begin[: max(0, n - AWAY + 1)] if side < 0 else begin[n + AWAY :]
+                most = len(h) if not len(b) else word - int(b[-1]) + REACH + 1 if side < 0 else int(b[0]) - word + REACH + 1
+                rows.append((f["doc_id"].iat[i], word, side, _outward(h, word, side)[:most].tobytes()))
+        yield pd.DataFrame(rows, columns=["k_doc", "k_word", "side", "words"]).astype({"k_doc": "int64", "k_word": "int32", "side": "int32"})
+
+
+def _grown(frames):
+    for f in frames:
+        rows = []
+        for i, h, begin in _text_words(f):
+            ident, begin = f["doc_id"].iat[i], set(begin.tolist())
+            for e in f["ends"].iat[i]:
+                word, side, k_doc, k_word = e["word"], e["side"], e["k_doc"], e["k_word"]
+                if word not in begin:
+                    continue
+                a, b = _outward(h, word, side), np.frombuffer(e["words"], np.uint64)
+                if ident == k_doc:  # neither copy grows into the other
+                    a, b = (x[: max(0, word - k_word - SPAN)] for x in (a, b))
+                for d, w, n, removed in zip((ident, k_doc), (word, k_word), reach(a, b), (True, False), strict=True):
+                    if n:
+                        rows.append((d, removed, w - n, w, k_doc) if side < 0 else (d, removed, w + SPAN, w + SPAN + n, k_doc))
+        yield pd.DataFrame(rows, columns=["doc_id", "removed", "first_word", "end_word", "class_id"]).drop_duplicates().astype({"doc_id": "int64", "removed": "bool", "first_word": "int32", "end_word": "int32", "class_id": "int64"})
+
+
+def _growth(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """What the ends of removed runs, and of the copies that stay, gain: (doc_id, removed, first_word, end_word, class_id)."""
+    end = lambda side, word, k: F.struct(F.lit(side).alias("side"), F.col(word).alias("word"), F.col(f"{k}.class_id").alias("k_doc"), F.col(f"{k}.k_word").alias("k_word"))
+    ends = runs.where("removed").select("doc_id", F.inline(F.array(end(-1, "first_word", "k_first"), end(1, "last_word", "k_last"))))
+    ends = ends.where("doc_id <> k_doc or word <> k_word").withColumn("anchor", F.xxhash64("k_doc", "k_word", "side"))
+    ends = scratch.written(ends, "run-ends")
+    wanted = ends.select("k_doc", "k_word", "side").distinct().groupBy(F.col("k_doc").alias("doc_id")).agg(F.collect_list(F.struct("k_word", "side")).alias("wanted"))
+    windows = texts.join(wanted, "doc_id").mapInPandas(_windows, "k_doc long, k_word int, side int, words binary")
+    windows = windows.groupBy(F.xxhash64("k_doc", "k_word", "side").alias("anchor")).agg(F.min("words").alias("words"))
+    by_doc = scratch.joined(ends, windows, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("side", "word", "k_doc", "k_word", "words")).alias("ends"))
+    return texts.join(by_doc, "doc_id").mapInPandas(_grown, "doc_id long, removed boolean, first_word int, end_word int, class_id long").distinct()
+
+
 def duplicate_runs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, shard_chars: int = 4 << 20) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -190,14 +265,24 @@ def duplicate_runs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95
     nodes = nodes.join(root, nodes["content"] == root["node"], "left").select("content", F.coalesce("root", "content").alias("class"))
     seen = places.join(nodes, "content").select("class", "doc_id", "word")
     keep = seen.groupBy("class").agg(F.min(F.struct("doc_id", "word")).alias("k"), F.max("doc_id").alias("last")).where("k.doc_id < last")
-    seen = scratch.joined(seen, keep.select("class", "k"), "class").select("doc_id", "word", F.col("k.doc_id").alias("class_id"), (F.struct("doc_id", "word") != F.col("k")).alias("removed"))
+    seen = scratch.joined(seen, keep.select("class", "k"), "class").select("doc_id", "word", F.struct(F.col("k.doc_id").alias("class_id"), F.col("k.word").alias("k_word")).alias("k"), (F.struct("doc_id", "word") != F.col("k")).alias("removed"))
     # Words under several paragraphs: what one of them removes is removed. Runs begin where no earlier paragraph of the kind reaches.
-    cells = seen.groupBy("doc_id", "word").agg(F.min("class_id").alias("class_id"), F.max("removed").alias("removed"))
+    cells = seen.groupBy("doc_id", "word").agg(F.min("k").alias("k"), F.max("removed").alias("removed"))
     w = Window.partitionBy("doc_id", "removed").orderBy("word")
     cells = cells.withColumn("new", F.coalesce((F.lag("word").over(w) + SPAN < F.col("word")).cast("int"), F.lit(1)))
     cells = cells.withColumn("run", F.sum("new").over(w))
-    runs = cells.groupBy("doc_id", "removed", "run").agg(F.min("word").alias("first_word"), (F.max("word") + SPAN).alias("end_word"), F.min_by("class_id", "word").alias("class_id"))
-    return runs.select("doc_id", "first_word", "end_word", "removed", "class_id")
+    runs = cells.groupBy("doc_id", "removed", "run").agg(F.min("word").alias("first_word"), F.max("word").alias("last_word"), F.min_by("k", "word").alias("k_first"), F.max_by("k", "word").alias("k_last"))
+    runs = scratch.written(runs, "paragraph-runs")
+    x = runs.select("doc_id", "removed", "first_word", (F.col("last_word") + SPAN).alias("end_word"), F.col("k_first.class_id").alias("class_id"))
+    x = x.unionByName(_growth(texts, runs))
+    w = Window.partitionBy("doc_id", "removed").orderBy("first_word", "end_word")
+    x = x.withColumn("new", F.coalesce((F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1)) < F.col("first_word")).cast("int"), F.lit(1)))
+    x = x.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.groupBy("doc_id", "removed", "run").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min_by("class_id", F.struct("first_word", "class_id")).alias("class_id"))
+    # A paragraph that other copies keep here is no kept run where this text's removed runs have grown over it.
+    over = F.max(F.when(F.col("removed"), F.col("end_word"))).over(Window.partitionBy("doc_id").orderBy("first_word", F.desc("removed")).rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("over", over).where("removed or over is null or over < end_word")
+    return x.select("doc_id", "first_word", "end_word", "removed", "class_id")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")

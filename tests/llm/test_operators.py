@@ -142,6 +142,19 @@ def test_passages(docs):
     assert not texts.keys() & set(range(105, 120)) or all(len(texts.get(i, "")) < 400 for i in range(105, 120))
 
 
+def test_runs_are_whole_passages(spark):
+    rng = random.Random(23)
+    sizes, rows = [51, 60, 80, 200], []
+    for i, n in enumerate(sizes * 3):
+        passage = prose(rng, n, 10**6)
+        rows += [row(10 * i + c, f"{prose(rng, 30 + 7 * c, 10**6)} {passage} {prose(rng, 40, 10**6)}") for c in range(3)]
+    runs = substr.duplicate_runs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len({r["doc_id"] for r in runs}) >= 33
+    for r in runs:
+        c = r["doc_id"] % 10
+        assert (r["first_word"], r["end_word"], r["removed"]) == (30 + 7 * c, 30 + 7 * c + sizes[r["doc_id"] // 10 % 4], c > 0)
+
+
 def test_passages_odd(odd, none, odd_rows):
     assert {(r["doc_id"], r["class_id"]) for r in substr.duplicate_runs(odd).collect()} == {(5, 5), (50, 5)}
     got = substr.deduplicated(odd)
