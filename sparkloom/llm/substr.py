@@ -16,7 +16,8 @@ adds a row for each slice; buckets of many variants are verified in pairs of blo
 
 Beginnings are a sample, so a run of paragraphs stops short of its passage. Each end of
 a removed run is therefore compared word by word with the kept copy, and both copies'
-runs grow by what is equal. What is compared with reaches to the kept text's next
+runs grow by what is equal, across single changed, added or missing words as long as
+the whole stays near a similarity of 0.8. What is compared with reaches to the kept text's next
 beginnings on that side: a passage that goes on beyond them has paragraphs there.
 
 Result: one row for each maximal run of duplicate words of a document: doc_id,
@@ -46,7 +47,8 @@ from .memory import trim
 from .shingles import mixed
 
 N, SPAN, REACH, ROWS = 5, 20, 5, 2
-AWAY = 1
+#: Of two texts' 5-grams, an edit changes N on either side; at a similarity of 0.8 there are 45 grams for each edit.
+AWAY, EDIT = 3, 45
 BLOCK = 512
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,11 +190,28 @@ def _outward(h: np.ndarray, word: int, side: int) -> np.ndarray:
     return h[:word][::-1] if side < 0 else h[word + SPAN :]
 
 
-def reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How many words of each of two texts, read away from equal paragraphs, go on being equal."""
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
     n = min(len(a), len(b))
     other = np.flatnonzero(a[:n] != b[:n])
-    return (int(other[0]),) * 2 if len(other) else (n, n)
+    return int(other[0]) if len(other) else n
+
+
+def reach(a: np.ndarray, b: np.ndarray, run: int = SPAN) -> tuple[int, int]:
+    """How many words of each of two texts, read away from an equal run of so many words, go on being equal.
+
+    A changed, added or missing word is crossed if N equal words follow and the whole, with
+    what the sample of beginnings may leave out on the other side, has EDIT words for each.
+    """
+    i = j = _equal(a, b)
+    edits = 0
+    while i < len(a) or j < len(b):
+        steps = [(_equal(a[i + x :], b[j + y :]), x, y) for x, y in ((1, 1), (1, 0), (0, 1))]
+        more, x, y = max(steps, key=lambda s: s[0])
+        edits += 1
+        if more < N or run + i + x + more + 2 * REACH + 1 < EDIT * edits + N - 1:
+            break
+        i, j = i + x + more, j + y + more
+    return i, j
 
 
 def _text_words(f: pd.DataFrame):
@@ -233,7 +252,7 @@ def _grown(frames):
                 a, b = _outward(h, word, side), np.frombuffer(e["words"], np.uint64)
                 if ident == k_doc:  # neither copy grows into the other
                     a, b = (x[: max(0, word - k_word - SPAN)] for x in (a, b))
-                for d, w, n, removed in zip((ident, k_doc), (word, k_word), reach(a, b), (True, False), strict=True):
+                for d, w, n, removed in zip((ident, k_doc), (word, k_word), reach(a, b, e["size"]), (True, False), strict=True):
                     if n:
                         rows.append((d, removed, w - n, w, k_doc) if side < 0 else (d, removed, w + SPAN, w + SPAN + n, k_doc))
         yield pd.DataFrame(rows, columns=["doc_id", "removed", "first_word", "end_word", "class_id"]).drop_duplicates().astype({"doc_id": "int64", "removed": "bool", "first_word": "int32", "end_word": "int32", "class_id": "int64"})
@@ -241,18 +260,18 @@ def _grown(frames):
 
 def _growth(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """What the ends of removed runs, and of the copies that stay, gain: (doc_id, removed, first_word, end_word, class_id)."""
-    end = lambda side, word, k: F.struct(F.lit(side).alias("side"), F.col(word).alias("word"), F.col(f"{k}.class_id").alias("k_doc"), F.col(f"{k}.k_word").alias("k_word"))
+    end = lambda side, word, k: F.struct(F.lit(side).alias("side"), F.col(word).alias("word"), F.col(f"{k}.class_id").alias("k_doc"), F.col(f"{k}.k_word").alias("k_word"), (F.col("last_word") + SPAN - F.col("first_word")).alias("size"))
     ends = runs.where("removed").select("doc_id", F.inline(F.array(end(-1, "first_word", "k_first"), end(1, "last_word", "k_last"))))
     ends = ends.where("doc_id <> k_doc or word <> k_word").withColumn("anchor", F.xxhash64("k_doc", "k_word", "side"))
     ends = scratch.written(ends, "run-ends")
     wanted = ends.select("k_doc", "k_word", "side").distinct().groupBy(F.col("k_doc").alias("doc_id")).agg(F.collect_list(F.struct("k_word", "side")).alias("wanted"))
     windows = texts.join(wanted, "doc_id").mapInPandas(_windows, "k_doc long, k_word int, side int, words binary")
     windows = windows.groupBy(F.xxhash64("k_doc", "k_word", "side").alias("anchor")).agg(F.min("words").alias("words"))
-    by_doc = scratch.joined(ends, windows, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("side", "word", "k_doc", "k_word", "words")).alias("ends"))
+    by_doc = scratch.joined(ends, windows, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("side", "word", "k_doc", "k_word", "size", "words")).alias("ends"))
     return texts.join(by_doc, "doc_id").mapInPandas(_grown, "doc_id long, removed boolean, first_word int, end_word int, class_id long").distinct()
 
 
-def duplicate_runs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, shard_chars: int = 4 << 20) -> DataFrame:
+def duplicate_runs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, shard_chars: int = 4 << 20) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards, bands = max(1, math.ceil(chars / shard_chars)), shingles.tune(threshold, recall, ROWS)

@@ -196,6 +196,19 @@ def test_cutting_runs():
     assert substr.without("a b", [(0, 2)]) == ""
 
 
+def test_reach_crosses_edits_that_leave_the_passage_similar():
+    a = np.arange(100, dtype=np.uint64)
+    b = a.copy()
+    b[10] = 1000
+    assert substr.reach(a, b) == (100, 100)
+    assert substr.reach(a, np.delete(a, 10)) == (100, 99)
+    assert substr.reach(a[:40], np.concatenate([a[:10], a[:1], a[10:40]])) == (40, 41)
+    assert substr.reach(a[:14], b[:14]) == (10, 10)  # too few words follow
+    b[[16, 22, 28, 34]] = 1001
+    assert substr.reach(a[:40], b[:40]) == (10, 10)  # too many edits
+    assert substr.reach(a, a[:0]) == (0, 0) and substr.reach(a[:5], a[5:]) == (0, 0)
+
+
 def test_forest_finds_neighbours():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((2000, 16))

@@ -155,6 +155,21 @@ def test_runs_are_whole_passages(spark):
         assert (r["first_word"], r["end_word"], r["removed"]) == (30 + 7 * c, 30 + 7 * c + sizes[r["doc_id"] // 10 % 4], c > 0)
 
 
+def test_runs_cross_single_edits(spark):
+    rng, rows = random.Random(29), []
+    for i in range(40):
+        passage = prose(rng, 60, 10**6).split()
+        for c in range(2):
+            if c:
+                passage[30:31] = [["changed"], [passage[30], "added"], []][i % 3]
+            rows.append(row(10 * i + c, f"{prose(rng, 30 + 7 * c, 10**6)} {' '.join(passage)} {prose(rng, 40, 10**6)}"))
+    runs = substr.duplicate_runs(spark.createDataFrame(rows, SCHEMA)).where("removed").collect()
+    found = {r["doc_id"] for r in runs}
+    # A paragraph may pass with another outermost word; an edit may leave too few words to its end.
+    whole = [r for r in runs if abs(r["first_word"] - 37) <= 1 and abs(r["end_word"] - 97 - [0, 1, -1][r["doc_id"] // 10 % 3]) <= 2]
+    assert len(found) >= 34 and len(whole) == len(runs) == len(found), (len(found), len(whole), len(runs))
+
+
 def test_passages_odd(odd, none, odd_rows):
     assert {(r["doc_id"], r["class_id"]) for r in substr.duplicate_runs(odd).collect()} == {(5, 5), (50, 5)}
     got = substr.deduplicated(odd)
