@@ -6,18 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def excerpt(text, chars: int):
-    """At most so many characters of a text, from a place that its own hash picks."""
-    room = F.greatest(F.length(text) - chars, F.lit(0))
-    return F.when(room == 0, text).otherwise(F.substring(text, (F.pmod(F.crc32(F.encode(text, "UTF-8")), room) + 1).cast("int"), F.lit(chars)))
-
-
-def sample(docs: DataFrame, ids: DataFrame, n: int, chars: int) -> list[tuple]:
-    """(doc_id, other columns of ids, excerpt) of the n rows of `ids` whose hashed doc_id is least. Both bounds hold whatever the tables' sizes."""
-    few = ids.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    rows = docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(few), "doc_id")
-    rows = rows.select(*few.columns, excerpt(F.coalesce("__text", F.lit("")), chars).alias("text"))
-    return [tuple(r) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+def sample(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Rows (doc_id, text) of the n documents whose hashed doc_id is least among those that `ids` lists; whole texts, null ones empty.
+
+    Ids are chosen among the documents there are, so that labels of other documents take
+    no one's place. The rows of one id are all taken; null ids are left out.
+    """
+    have = docs.select("doc_id").join(ids.select("doc_id"), "doc_id", "left_semi").distinct()
+    few = have.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    return docs.join(F.broadcast(few), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def fold(column: str, parts: int):

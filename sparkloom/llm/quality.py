@@ -11,8 +11,11 @@ The prior is estimated from data: on held-back rows, the least ratio of the shar
 unlabelled to that of positive rows under thresholds of a first model, which is
 trained with a prior of one half; labelled negatives play no part in training.
 
-Null text counts as empty. Ties, repeated rows and extra columns make no difference.
-Rows with null labels are not learned from; without positives every score is 0.
+Training reads whole texts where they lie; a row of features for each of a bounded
+number of documents comes back. Null text counts as empty; a very long text is one
+value of one task. Ties, repeated rows and extra columns make no difference. Rows with
+null labels are not learned from; without positives every score is 0, and the pipeline's
+stage rejects nothing. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,9 +77,8 @@ def prior_of(pos: np.ndarray, unl: np.ndarray, least: float = 0.05) -> float:
     return float(np.clip(np.min((uu + noise) / up), 0.02, 0.98))
 
 
-def fit(positive: list[str], unlabelled: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Centre, scale, weights, prior."""
-    p, u = np.array([features(t) for t in positive]), np.array([features(t) for t in unlabelled])
+def fit(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Centre, scale, weights, prior, from the features of positive and of unlabelled texts."""
     centre, scale = u.mean(0), u.std(0) + 1e-3
     centre[-1], scale[-1] = 0, 1
     p, u = np.clip((p - centre) / scale, -8, 8), np.clip((u - centre) / scale, -8, 8)
@@ -113,14 +115,26 @@ def score(docs: DataFrame, model, threshold: float, keep_columns: bool = False,
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     flag = F.coalesce(labelled.fold("doc_id", parts) == held, F.lit(False)).alias("h")
-    return docs.select("doc_id", "text", flag).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text", flag).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, chars: int = 20_000, parts: int = 5, held: int = 0):
-    """Learns from at most so many positives and unlabelled rows, of at most `chars` characters each, none of the held-out fold. None if there are no positives."""
-    pos = labelled.sample(docs, labels.where((labelled.fold("doc_id", parts) != held) & (F.col("quality") == 1)).select("doc_id"), positives, chars)
-    unl = labelled.sample(docs, docs.where(labelled.fold("doc_id", parts) != held).select("doc_id"), unlabelled, chars)
-    return fit([r[-1] for r in pos], [r[-1] for r in unl]) if pos and unl else None
+def _measured(rows: DataFrame) -> np.ndarray:
+    """Features of the rows' whole texts, worked out where they lie; a bounded number of rows."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    found = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").select("x").collect()
+    return np.array([r[0] for r in found])
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, parts: int = 5, held: int = 0):
+    """Learns from at most so many positive and unlabelled documents, none of the held-out fold. None if there are no positives."""
+    pos = _measured(labelled.sample(docs, labels.where((labelled.fold("doc_id", parts) != held) & (F.col("quality") == 1)), positives))
+    unl = _measured(labelled.sample(docs, docs.where(labelled.fold("doc_id", parts) != held).select("doc_id"), unlabelled))
+    return fit(pos, unl) if len(pos) and len(unl) else None
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **limits) -> DataFrame:

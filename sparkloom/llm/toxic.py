@@ -1,87 +1,82 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on toxic excerpts, one on ordinary ones.
-A window of the text is compressed with either; how many bytes shorter the toxic
-dictionary makes it is the window's distance. Toxic excerpts are those words of
-toxic documents whose beginnings are much more frequent there than in ordinary ones.
-
-A window is one word between two copies of a lead that both dictionaries hold. The
-lead costs either side the same, and pays for the sequence that a match needs, so
-that a match of five bytes already shows. As the window doesn't depend on the words
-around it, each distinct word is compressed once. A document's score is a logistic
-function, calibrated on labelled documents that the dictionaries have not seen, of
-its largest distances and its share of distant windows.
-
-Null text counts as empty: no windows, all features 0. Ties, repeated rows and extra
-columns make no difference. Rows with null labels are not learned from; if either
-class has no row, every score is the share of toxic labels (0 without any).
+Two zstandard dictionaries are trained, one on windows of toxic text and one on windows
+of ordinary text. A window is `WORDS` successive words of the running text. It is
+compressed with either dictionary, between two copies of a lead that both hold; the
+lead costs either side the same and pays for the sequence that a match needs. How many
+bytes shorter the toxic dictionary makes the window is its distance.
+
+Most windows of a toxic document are ordinary ones, so the toxic dictionary is trained
+in rounds: at first on all windows of toxic documents, then on those whose distance is
+beyond the `quantile` of the distances of ordinary windows. Dictionaries train on one
+half of the labelled documents. On the other half the thresholds are calibrated: the
+share of ordinary windows at or beyond each distance, and the weights of a logistic
+function of the numbers of windows there, against what their shares let expect.
+
+Training reads whole texts where they lie: executors send back at most `samples`
+windows a class (those of the least hash) for each dictionary, and a row of features
+for each labelled document. Scoring reads every window of every text, each word once.
+
+Null text counts as empty: no windows, all features 0. A very long text is one list of
+words of one task. Ties, repeated rows and extra columns make no difference. Rows with
+null labels are not learned from; if either class has no row, every score is the share
+of toxic labels (0 without any). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
-import random
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import labelled
+from . import labelled, scratch
 
 LEAD = bytes(range(1, 25))
-FAR = 4
-CACHE = 600_000
+WORDS = 2
+STEPS = np.arange(1, 8)  # distances at which windows are counted
+MOST = 40
 
 
-@dataclass(frozen=True)
-class ToxicModel:
-    toxic: bytes
-    ordinary: bytes
-    weights: tuple[float, ...]
+def windows(text: str | None, step: int) -> Iterator[bytes]:
+    """WORDS words from every `step`-th word on; the last window may be shorter."""
+    words = (text or "").lower().encode().split()
+    return (b" ".join(words[a : a + WORDS]) for a in range(0, len(words), step))
 
 
-def words_of(text: str | None) -> set[bytes]:
-    return set((text or "").lower().encode().split())
+class Distance:
+    """Bytes by which the toxic dictionary makes a window shorter than the ordinary one does."""
 
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self._sides = []
+        for d in (toxic, ordinary):
+            p = zstd.ZstdCompressionParameters.from_level(12, source_size=128, dict_size=len(d), min_match=4, strategy=zstd.STRATEGY_GREEDY, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+            self._sides.append(zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(d + LEAD, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=p).compress)
 
-def _openings(words: set[bytes]) -> set[bytes]:
-    return {w[:n] for w in words for n in (4, 5) if len(w) >= n}
+    def __call__(self, window: bytes) -> int:
+        x = LEAD + b" " + window + b" " + LEAD
+        return len(self._sides[1](x)) - len(self._sides[0](x))
 
+    def of(self, text: str | None, step: int) -> np.ndarray:
+        return np.fromiter((self(w) for w in windows(text, step)), np.int64)
 
-class Distance:
-    """Bytes by which the toxic dictionary shortens a word's window more than the ordinary one does."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        p = zstd.ZstdCompressionParameters.from_level(12, source_size=64, dict_size=len(toxic), min_match=4, strategy=zstd.STRATEGY_BTLAZY2, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self._sides = [zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(d + LEAD, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=p).compress for d in (toxic, ordinary)]
-        self._known: dict[bytes, int] = {}
-
-    def __call__(self, word: bytes) -> int:
-        d = self._known.get(word)
-        if d is None:
-            x = LEAD + b" " + word + b" " + LEAD
-            d = len(self._sides[1](x)) - len(self._sides[0](x))
-            if len(self._known) >= CACHE:
-                self._known.clear()
-            if len(word) < 64:
-                self._known[word] = d
-        return d
-
-
-def features(text: str | None, distance: Distance) -> list[float]:
-    words = words_of(text)
-    if not words:
-        return [1.0, 0.0, 0.0, 0.0]
-    d = sorted(map(distance, words), reverse=True)[:64]
-    far = sum(x >= FAR for x in d)
-    return [1.0, max(0, d[0]) / 8, max(0, sum(d[:3])) / 24, math.log1p(far)]
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
+def features(d: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Of a text's distances: numbers of windows at or beyond each step, as they are and against what the shares let expect, the three largest, the mean."""
+    if not len(d):
+        return np.concatenate([[1.0], np.zeros(3 + 2 * len(STEPS))])
+    n = (d[:, None] >= STEPS).sum(0)
+    much = (n - len(d) * shares) / np.sqrt(len(d) * shares + 0.5)
+    return np.concatenate([[1.0, np.sort(d)[-3:].sum() / 20, np.log1p(len(d)), d.mean()], np.log1p(n), np.sign(much) * np.log1p(np.abs(much))])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 40) -> np.ndarray:
     """Newton's method for ridge logistic regression."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -91,56 +86,111 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str], dict_bytes: int = 1024, floor: float = 0.005, log_odds: float = 3.0) -> ToxicModel:
-    """Even rows train the dictionaries, odd ones calibrate."""
-    a, b = toxic[::2] or toxic, ordinary[::2] or ordinary
-    tox, ordi = Counter(), Counter()
-    for counts, texts in ((tox, a), (ordi, b)):
-        for t in texts:
-            counts.update(_openings({w.strip(b".,;:!?\"'()") for w in words_of(t)}))
-    keep = {g for g, n in tox.items() if n >= max(2, floor * len(a)) and math.log((n + 0.5) / (len(a) + 1)) - math.log((ordi[g] + 0.5) / (len(b) + 1)) > log_odds}
-
-    def pick(texts: list[str], wanted) -> list[bytes]:
-        return [b" " + w for t in texts for w in (x.strip(b".,;:!?\"'()") for x in (t or "").lower().encode().split()) if wanted(w)]
-
-    marked = pick(a, lambda w: w[:5] in keep or w[:4] in keep)
-    plain = pick(b[: max(50, len(b) // 3)], lambda w: len(w) > 3)
-    rng = random.Random(7)
-
-    def train(words: list[bytes]) -> bytes:
-        samples = [b" ".join(rng.sample(words, min(6, len(words)))) for _ in range(max(200, min(6000, len(words) // 2)))] if words else []
-        try:
-            return zstd.train_dictionary(dict_bytes, samples, level=3).as_bytes()
-        except zstd.ZstdError:  # too little to train on
-            return b" ".join(dict.fromkeys(words))[:dict_bytes].ljust(dict_bytes, b" ")
+@dataclass(frozen=True)
+class ToxicModel:
+    toxic: bytes
+    ordinary: bytes
+    shares: tuple[float, ...]
+    weights: tuple[float, ...]
 
-    dt, do = train(marked), train(plain)
-    distance = Distance(dt, do)
-    rest = [(t, 1.0) for t in toxic[1::2] or toxic] + [(t, 0.0) for t in ordinary[1::2] or ordinary]
-    w = logistic(np.array([features(t, distance) for t, _ in rest]), np.array([y for _, y in rest]))
-    return ToxicModel(dt, do, tuple(map(float, w)))
+    def scores(self, texts) -> np.ndarray:
+        distance, shares = Distance(self.toxic, self.ordinary), np.array(self.shares)
+        x = np.array([features(distance.of(t, WORDS), shares) for t in texts]).reshape(-1, len(self.weights))
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
+
+
+def _dictionary(found: list[bytes], size: int) -> bytes:
+    try:
+        return zstd.train_dictionary(size, found, level=3, k=64, d=8).as_bytes()
+    except zstd.ZstdError:  # too little to train on
+        return b" ".join(found)[:size].ljust(8, b" ")
+
+
+def _some(rows: DataFrame, n: int, dicts: tuple[bytes, bytes] | None = None, beyond: int = 0) -> list[bytes]:
+    """The n windows of least hash of the rows' texts; with dictionaries given, of those beyond a distance."""
+
+    def run(frames):
+        measure = Distance(*dicts) if dicts else None
+        for p in frames:
+            best: dict[bytes, int] = {}
+            for t in p["text"]:
+                best |= {w: xxhash.xxh3_64_intdigest(w) >> 1 for w in set(windows(t, 1)) if measure is None or measure(w) > beyond}
+                if len(best) > 4 * n:
+                    best = dict(sorted(best.items(), key=lambda x: (x[1], x[0]))[:n])
+            first = sorted(best.items(), key=lambda x: (x[1], x[0]))[:n]
+            yield pd.DataFrame({"h": [h for _, h in first], "w": [w for w, _ in first]}).astype({"h": "int64"})
+
+    found = rows.select("text").mapInPandas(run, "h long, w binary").distinct().orderBy("h", "w").limit(n)
+    return [bytes(r[1]) for r in found.collect()]
+
+
+def _histogram(rows: DataFrame, dicts: tuple[bytes, bytes], step: int) -> np.ndarray:
+    """Numbers of the rows' windows by distance, from -MOST to MOST."""
+
+    def run(frames):
+        measure = Distance(*dicts)
+        for p in frames:
+            n = np.zeros(2 * MOST + 1, np.int64)
+            for t in p["text"]:
+                n += np.bincount(np.clip(measure.of(t, step), -MOST, MOST) + MOST, minlength=2 * MOST + 1)
+            yield pd.DataFrame({"d": np.arange(-MOST, MOST + 1), "n": n})
+
+    out = np.zeros(2 * MOST + 1, np.int64)
+    for d, n in rows.select("text").mapInPandas(run, "d int, n long").groupBy("d").agg(F.sum("n")).collect():
+        out[d + MOST] = n
+    return out
+
+
+def _beyond(histogram: np.ndarray) -> np.ndarray:
+    """Share of the windows at or beyond each step."""
+    return np.array([histogram[MOST + s :].sum() for s in STEPS]) / max(1, histogram.sum())
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, parts: int = 3, held: int = 1, dict_bytes: int = 112_640, samples: int = 12_000, quantile: float = 0.9995, rounds: int = 2) -> ToxicModel | float:
+    """Learns from at most `per_class` documents of either label, none of the held-out fold."""
+    seen = labels.where((labelled.fold("doc_id", parts) != held) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
+    both = [labelled.sample(docs, seen.where(F.col("toxic") == y), per_class).withColumn("y", F.lit(y)) for y in (0, 1)]
+    rows = both[0].unionByName(both[1]).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
+    rows = scratch.written(rows.repartition(8, "doc_id"), "toxic-sample")
+    have = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+    if not have.get(0) or not have.get(1):
+        return float(bool(have.get(1)))
+    half = lambda y, k: rows.where((F.col("y") == y) & (F.col("half") == k))
+    plain = _dictionary(_some(half(0, 0), samples), dict_bytes)
+    dicts = _dictionary(_some(half(1, 0), samples), dict_bytes), plain
+    for _ in range(rounds):
+        n = _histogram(half(0, 0), dicts, 1)
+        beyond = int(np.searchsorted(np.cumsum(n), quantile * n.sum())) - MOST if n.sum() else 0
+        found = _some(half(1, 0), samples, dicts=dicts, beyond=beyond)
+        if len(found) < 20:
+            break
+        dicts = _dictionary(found, dict_bytes), plain
+    shares = _beyond(_histogram(half(0, 1), dicts, WORDS))
+
+    def measured(frames):
+        distance = Distance(*dicts)
+        for p in frames:
+            yield pd.DataFrame({"doc_id": p["doc_id"], "y": p["y"], "x": [features(distance.of(t, WORDS), shares) for t in p["text"]]})
+
+    kind = dict(rows.dtypes)["doc_id"]
+    known = rows.where("half = 1").select("doc_id", "y", "text").mapInPandas(measured, f"doc_id {kind}, y int, x array<double>").select("y", "x").orderBy("doc_id", "y", "x").collect()
+    if len({r[0] for r in known}) < 2:  # too few rows to calibrate on
+        return have[1] / (have[0] + have[1])
+    w = logistic(np.array([r[1] for r in known]), np.array([float(r[0]) for r in known]))
+    return ToxicModel(*dicts, tuple(map(float, shares)), tuple(map(float, w)))
 
 
 def score(docs: DataFrame, model: ToxicModel | float, threshold: float, parts: int, held: int) -> DataFrame:
     schema = "doc_id long, held_out boolean, score double, predicted int"
 
     def run(batches):
-        distance = Distance(model.toxic, model.ordinary) if isinstance(model, ToxicModel) else None
         for b in batches:
-            if distance is None:
-                s = np.full(b.num_rows, float(model))
-            else:
-                x = np.array([features(t, distance) for t in b.column(1).to_pylist()]).reshape(-1, len(model.weights))
-                s = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
+            s = model.scores(b.column(1).to_pylist()) if isinstance(model, ToxicModel) else np.full(b.num_rows, float(model))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", "text", F.coalesce(labelled.fold("doc_id", parts) == held, F.lit(False)).alias("h")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(labelled.fold("doc_id", parts) == held, F.lit(False)).alias("h")).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, per_class: int = 3000, chars: int = 20_000, threshold: float = 0.7, parts: int = 3, held: int = 1) -> DataFrame:
-    """Scores every whole text. At most `per_class` labelled rows of either class, of at most `chars` characters each, are learned from, none of the held-out fold."""
-    seen = labels.where(labelled.fold("doc_id", parts) != held)
-    toxic = [t for _, t in labelled.sample(docs, seen.where("toxic = 1").select("doc_id"), per_class, chars)]
-    ordinary = [t for _, t in labelled.sample(docs, seen.where("toxic = 0").select("doc_id"), per_class, chars)]
-    model = fit(toxic, ordinary) if toxic and ordinary else float(bool(toxic))
-    return score(docs, model, threshold, parts, held)
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, parts: int = 3, held: int = 1, **limits) -> DataFrame:
+    """doc_id, held_out, score, predicted of every whole text."""
+    return score(docs, train(docs, labels, parts=parts, held=held, **limits), threshold, parts, held)
