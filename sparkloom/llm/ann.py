@@ -9,7 +9,7 @@ these leaves are its candidates, which are reranked by exact Euclidean distance
 double precision.
 
 How many leaves a query takes is `leaves`, a fixed number, or else the stated share of
-all, but `least` at least. A share costs share * trees distances for each row, so that a query's cost grows
+all, but `fewest` at least. A share costs share * trees distances for each row, so that a query's cost grows
 with the table. Directions drawn evenly in 64 dimensions, as in the tables at hand, leave
 no other way: with 4 trees 0.30 of the distances of a full scan find 0.72 of the ten
 nearest, 0.45 find 0.84, 0.60 find 0.90, 0.80 find 0.94. Clustered vectors are found
@@ -96,7 +96,7 @@ def search_leaves(forest: list[Tree], q: np.ndarray, leaves: int) -> list[tuple[
     return out
 
 
-def nearest(table: DataFrame, queries, ident: str = "vec_id", vector: str = "embedding", k: int = 10, trees: int = 4, leaf: int = 64, sample: int = 20_000, share: float = 0.22, least: int = 64, leaves: int | None = None, cell: int = 4096, seed: int = 11) -> DataFrame:
+def nearest(table: DataFrame, queries, ident: str = "vec_id", vector: str = "embedding", k: int = 10, trees: int = 4, leaf: int = 64, sample: int = 20_000, share: float = 0.22, fewest: int = 64, leaves: int | None = None, cell: int = 4096, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score of each row for which the condition `queries` holds, against all other rows."""
     spark = table.sparkSession
     x = table.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("q")).where("id is not null and v is not null")
@@ -125,7 +125,7 @@ def nearest(table: DataFrame, queries, ident: str = "vec_id", vector: str = "emb
     cells = max(1, math.ceil(n * leaf / len(fitted) / cell))  # a leaf of the whole table in cells of about this size
     distinct = distinct.where(F.size("v") == dim)
 
-    probed = leaves or max(least, math.ceil(share * sum(t.leaves for t in forest.value)))
+    probed = leaves or max(fewest, math.ceil(share * sum(t.leaves for t in forest.value)))
     kind = distinct.schema["v"].dataType.simpleString()
 
     def dropped(frames):
