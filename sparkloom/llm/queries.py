@@ -27,7 +27,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substr.duplicate_runs(table(spark, sf_dir, "documents"))
+    return substr.duplicate_runs(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", "copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,6 +29,19 @@ def joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, left[key] == right["__key"]).drop("__key")
 
 
+def hot_keys(df: DataFrame, key: str, most: int = 1000, rows: int = 1000) -> DataFrame:
+    """The keys of the most rows, `most` at most, each of over `rows`: of a size to broadcast. `df` should be a table, as it is read once more."""
+    return df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > rows).orderBy(F.desc("__n"), key).limit(most).select(key)
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, by: list[str], how: str = "inner", ways: int = 64) -> DataFrame:
+    """Join on a key that may be hot on the left and occurs once on the right: left rows of the keys in `hot` are dealt over `ways` copies of the right row by the hash of the columns `by`."""
+    mark = F.broadcast(hot.select(key).withColumn("__hot", F.lit(True)))
+    left = left.join(mark, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(ways)).cast("int")).otherwise(0)).drop("__hot")
+    right = right.join(mark, key, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def written(df: DataFrame, name: str, big: bool = False) -> DataFrame:
     """The rows, written to the shared folder as Parquet and read again: lineage ends here, and lost executors lose nothing. big: rows of megabytes, whose size the writer checks row by row."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ side, and runs for `span` words. A passage of over 50 words holds such beginning
 the same words wherever it stands. Each paragraph's set of word 5-grams is signed by
 MinHash; the number of bands is tuned for the target recall at the threshold, and
 paragraphs are shuffled on band hashes in packed messages from slices of text to
-shards. Equal paragraphs of different documents are duplicates; unequal ones that
+shards (see `route`). Equal paragraphs of different documents are duplicates; unequal ones that
 share a bucket are verified by exact Jaccard similarity of their sets. Components of
 verified ties are classes; a class that stands in two documents or more is kept where
 its least (doc_id, word) is, and removed elsewhere.
@@ -22,10 +22,13 @@ beginnings on that side: a passage that goes on beyond them has paragraphs there
 
 Result: one row for each maximal run of duplicate words of a document: doc_id,
 first_word, end_word (exclusive), removed, class_id (the doc_id that keeps the run's
-first paragraph). Documents without any have no row. Null and short texts (less than
-`span` words) hold no paragraphs. Repetition inside one document alone is left. Rows
-without an id are left out; rows that share an id count as one document, and the runs
-of both are listed. Only doc_id and text are read; `deduplicated` keeps all columns.
+first paragraph), text_hash. Documents without any have no row. Null and short texts (less
+than `span` words) hold no paragraphs; a very long one is a slice of its own. Repetition
+inside one document alone is left. Rows without an id are left out. A row is known by
+its id and the hash of its text: rows that share an id but not the text are documents
+of their own, and none is cut by what the other repeats; repeated rows are one document.
+An empty table has no runs. Only doc_id and text are read; `deduplicated` keeps all
+columns, whatever their names, and takes rows without an id to come after all others.
 """
 
 from __future__ import annotations
@@ -41,12 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import jaccard, scratch, shingles
+from . import jaccard, route, scratch, shingles
 from .components import components
 from .memory import trim
 from .shingles import mixed
 
 N, SPAN, REACH, ROWS = 5, 20, 5, 2
+ROW = ["doc_id", "mark"]
 #: Of two texts' 5-grams, an edit changes N on either side; at a similarity of 0.8 there are 45 grams for each edit.
 AWAY, EDIT = 3, 45
 BLOCK = 512
@@ -96,32 +100,42 @@ def band_hashes(g: np.ndarray, p: np.ndarray, bands: int, seed: int = 9) -> np.n
     return shingles.bands(np.stack(cols, axis=1) if len(p) else np.zeros((0, bands * ROWS), np.uint32), bands).view(np.uint64)
 
 
-def _messages(docs: DataFrame, bands: int, shards: int) -> DataFrame:
+def _merged(parts: list[tuple]) -> tuple:
+    """Entries (band, content, a document, whether there are more, number) in order, one for each band and content."""
+    band, content, doc, many, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((content, band))
+    band, content, doc, many, n = band[order], content[order], doc[order], many[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (content[1:] != content[:-1])]))
+    low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+    return band[first], content[first], low, np.logical_or.reduceat(many, first) | (low != high), np.add.reduceat(n, first)
+
+
+def _cut(entries: tuple, shards: int, width: int) -> list[tuple[int, bytes]]:
+    shard = (mixed(entries[0]) % np.uint64(shards)).astype(np.int64)
+    return [(k, pickle.dumps(tuple(x[e] for x in entries), 5)) for k, e in route.cut(shard, width)]
+
+
+def _messages(docs: DataFrame, bands: int, shards: int, fan: int) -> DataFrame:
+    wide = route.hops(shards, fan)[0]
+
     def run(batches):
         for b in batches:
-            for at, texts in shingles.slices(b.column(1), 6 << 20):
+            for at, texts in shingles.slices(b.column(2), 6 << 20):
                 doc, _, content, p, g = paragraphs(texts)
                 if not len(p):
                     continue
-                ids = mixed(b.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                ids = (ids >> np.uint64(32)).astype(np.uint32)[doc]
+                ident, mark = (b.column(c).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in (0, 1))
+                ids = mixed(ident * _MUL + mark)[doc]
                 order = np.argsort(content, kind="stable")
                 first = jaccard_runs(content[order])
                 low, high = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
                 pick = order[first]
                 band = band_hashes(g, p[pick], bands).reshape(-1)
-                content, low, many = np.repeat(content[pick], bands), np.repeat(low, bands), np.repeat(low != high, bands)
-                shard = (mixed(band) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                shard = shard[order]
-                first = jaccard_runs(shard)
-                rows = []
-                for x, y in zip(first, np.append(first[1:], len(shard)), strict=True):
-                    e = order[x:y]
-                    rows.append((int(shard[x]), pickle.dumps((band[e], content[e], low[e], many[e]), 5)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "message"])
+                many, ones = np.repeat(low != high, bands), np.ones(len(band), np.uint32)
+                yield route.batch(_cut((band, np.repeat(content[pick], bands), np.repeat(low, bands), many, ones), shards, wide))
 
-    return docs.mapInArrow(run, "shard long, message binary")
+    sent = docs.mapInArrow(run, route.SCHEMA)
+    return route.routed(sent, shards, lambda held, width: _cut(_merged([pickle.loads(m) for m in held]), shards, width), fan)
 
 
 def jaccard_runs(x: np.ndarray) -> np.ndarray:
@@ -129,40 +143,33 @@ def jaccard_runs(x: np.ndarray) -> np.ndarray:
 
 
 def _collide(p: pd.DataFrame) -> pd.DataFrame:
-    """(content, bucket, size): bucket null for content in several documents, else a bucket of several contents of several documents."""
-    band, content, doc, many = (np.concatenate(x) for x in zip(*(pickle.loads(m) for m in p["message"]), strict=True))
-    order = np.lexsort((content, band))
-    band, content, doc, many = band[order], content[order], doc[order], many[order]
-    first = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (content[1:] != content[:-1])]))
-    low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-    many = np.logical_or.reduceat(many, first) | (low != high)
-    band, content = band[first], content[first]
+    """(content, bucket, size, slices): bucket null for content in several documents, else a bucket of several contents of several documents."""
+    band, content, doc, many, n = _merged([pickle.loads(m) for m in p["message"]])
     head = jaccard_runs(band)
     size = np.diff(np.append(head, len(band)))
-    mixed_docs = np.logical_or.reduceat(many, head) | (np.minimum.reduceat(low, head) != np.maximum.reduceat(high, head))
+    mixed_docs = np.logical_or.reduceat(many, head) | (np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head))
     near = np.repeat((size > 1) & mixed_docs, size)
     trim()
-    a = pd.DataFrame({"content": content[many].view(np.int64), "bucket": None, "size": 1}).drop_duplicates("content")
-    b = pd.DataFrame({"content": content[near].view(np.int64), "bucket": band[near].view(np.int64), "size": np.repeat(size, size)[near]})
-    return pd.concat([a, b], ignore_index=True).astype({"bucket": "Int64"})
+    a = pd.DataFrame({"content": content[many].view(np.int64), "bucket": None, "size": 1, "slices": n[many]}).drop_duplicates("content")
+    b = pd.DataFrame({"content": content[near].view(np.int64), "bucket": band[near].view(np.int64), "size": np.repeat(size, size)[near], "slices": n[near]})
+    return pd.concat([a, b], ignore_index=True).astype({"bucket": "Int64", "slices": "int64"})
 
 
 def _places(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            for at, texts in shingles.slices(b.column(1)):
+            for at, texts in shingles.slices(b.column(2)):
                 doc, word, content, _, _ = paragraphs(texts)
-                ids = b.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(ids[doc]), pa.array(word.astype(np.int32))], names=["content", "doc_id", "word"])
+                ident, mark = (b.column(c).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(np.int64)[doc] for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(ident), pa.array(mark), pa.array(word.astype(np.int32))], names=["content", "doc_id", "mark", "word"])
 
-    return docs.mapInArrow(run, "content long, doc_id long, word int")
+    return docs.mapInArrow(run, "content long, doc_id long, mark long, word int")
 
 
 def _near_ties(texts: DataFrame, near: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
     """Verified ties between unequal contents of a bucket."""
-    wanted = near.select("content").distinct()
-    at = places.join(wanted, "content").groupBy("content").agg(F.min(F.struct("doc_id", "word")).alias("p"))
-    by_doc = at.select(F.col("p.doc_id").alias("doc_id"), "content").groupBy("doc_id").agg(F.collect_set("content").alias("contents"))
+    at = places.groupBy("content").agg(F.min(F.struct("doc_id", "mark", "word")).alias("p")).join(near.select("content").distinct(), "content")
+    by_doc = at.select("p.doc_id", "p.mark", "content").groupBy("doc_id", "mark").agg(F.collect_set("content").alias("contents"))
 
     def sets(frames):
         for f in frames:
@@ -176,7 +183,7 @@ def _near_ties(texts: DataFrame, near: DataFrame, places: DataFrame, threshold:
             wants.clear()
 
     wants: dict[int, set] = {}
-    grams = texts.join(by_doc, "doc_id").mapInPandas(sets, "content long, grams binary").dropDuplicates(["content"])
+    grams = texts.join(by_doc, ROW).mapInPandas(sets, "content long, grams binary").dropDuplicates(["content"])
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
     x = near.withColumn("chunks", chunks).withColumn("side", F.pmod("content", "chunks").cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -232,76 +239,76 @@ def _windows(frames):
             for want in f["wanted"].iat[i]:
                 word, side = want["k_word"], want["side"]
                 n = int(np.searchsorted(begin, word))
-                if n == len(begin) or begin[n] != word:
-                    continue  # of another row of the same id
                 b = begin[: max(0, n - AWAY + 1)] if side < 0 else begin[n + AWAY :]
                 most = len(h) if not len(b) else word - int(b[-1]) + REACH + 1 if side < 0 else int(b[0]) - word + REACH + 1
-                rows.append((f["doc_id"].iat[i], word, side, _outward(h, word, side)[:most].tobytes()))
-        yield pd.DataFrame(rows, columns=["k_doc", "k_word", "side", "words"]).astype({"k_doc": "int64", "k_word": "int32", "side": "int32"})
+                rows.append((f["doc_id"].iat[i], f["mark"].iat[i], word, side, _outward(h, word, side)[:most].tobytes()))
+        yield pd.DataFrame(rows, columns=["k_doc", "k_mark", "k_word", "side", "words"]).astype({"k_doc": "int64", "k_mark": "int64", "k_word": "int32", "side": "int32"})
 
 
 def _grown(frames):
     for f in frames:
         rows = []
         for i, h, begin in _text_words(f):
-            ident, begin = f["doc_id"].iat[i], set(begin.tolist())
+            ident = f["doc_id"].iat[i], f["mark"].iat[i]
             for e in f["ends"].iat[i]:
-                word, side, k_doc, k_word = e["word"], e["side"], e["k_doc"], e["k_word"]
-                if word not in begin:
-                    continue
+                word, side, keeper, k_word = e["word"], e["side"], (e["k_doc"], e["k_mark"]), e["k_word"]
                 a, b = _outward(h, word, side), np.frombuffer(e["words"], np.uint64)
-                if ident == k_doc:  # neither copy grows into the other
+                if ident == keeper:  # neither copy grows into the other
                     a, b = (x[: max(0, word - k_word - SPAN)] for x in (a, b))
-                for d, w, n, removed in zip((ident, k_doc), (word, k_word), reach(a, b, e["size"]), (True, False), strict=True):
+                for d, w, n, removed in zip((ident, keeper), (word, k_word), reach(a, b, e["size"]), (True, False), strict=True):
                     if n:
-                        rows.append((d, removed, w - n, w, k_doc) if side < 0 else (d, removed, w + SPAN, w + SPAN + n, k_doc))
-        yield pd.DataFrame(rows, columns=["doc_id", "removed", "first_word", "end_word", "class_id"]).drop_duplicates().astype({"doc_id": "int64", "removed": "bool", "first_word": "int32", "end_word": "int32", "class_id": "int64"})
+                        rows.append((*d, removed, w - n, w, keeper[0]) if side < 0 else (*d, removed, w + SPAN, w + SPAN + n, keeper[0]))
+        yield pd.DataFrame(rows, columns=["doc_id", "mark", "removed", "first_word", "end_word", "class_id"]).drop_duplicates().astype({"doc_id": "int64", "mark": "int64", "removed": "bool", "first_word": "int32", "end_word": "int32", "class_id": "int64"})
 
 
 def _growth(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """What the ends of removed runs, and of the copies that stay, gain: (doc_id, removed, first_word, end_word, class_id)."""
-    end = lambda side, word, k: F.struct(F.lit(side).alias("side"), F.col(word).alias("word"), F.col(f"{k}.class_id").alias("k_doc"), F.col(f"{k}.k_word").alias("k_word"), (F.col("last_word") + SPAN - F.col("first_word")).alias("size"))
-    ends = runs.where("removed").select("doc_id", F.inline(F.array(end(-1, "first_word", "k_first"), end(1, "last_word", "k_last"))))
-    ends = ends.where("doc_id <> k_doc or word <> k_word").withColumn("anchor", F.xxhash64("k_doc", "k_word", "side"))
-    ends = scratch.written(ends, "run-ends")
-    wanted = ends.select("k_doc", "k_word", "side").distinct().groupBy(F.col("k_doc").alias("doc_id")).agg(F.collect_list(F.struct("k_word", "side")).alias("wanted"))
-    windows = texts.join(wanted, "doc_id").mapInPandas(_windows, "k_doc long, k_word int, side int, words binary")
-    windows = windows.groupBy(F.xxhash64("k_doc", "k_word", "side").alias("anchor")).agg(F.min("words").alias("words"))
-    by_doc = scratch.joined(ends, windows, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("side", "word", "k_doc", "k_word", "size", "words")).alias("ends"))
-    return texts.join(by_doc, "doc_id").mapInPandas(_grown, "doc_id long, removed boolean, first_word int, end_word int, class_id long").distinct()
-
-
-def duplicate_runs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, shard_chars: int = 4 << 20) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    """What the ends of removed runs, and of the copies that stay, gain: (doc_id, mark, removed, first_word, end_word, class_id)."""
+    end = lambda side, word, k: F.struct(F.lit(side).alias("side"), F.col(word).alias("word"), F.col(f"{k}.class_id").alias("k_doc"), F.col(f"{k}.k_mark").alias("k_mark"), F.col(f"{k}.k_word").alias("k_word"), (F.col("last_word") + SPAN - F.col("first_word")).alias("size"))
+    ends = runs.where("removed").select(*ROW, F.inline(F.array(end(-1, "first_word", "k_first"), end(1, "last_word", "k_last"))))
+    anchor = F.xxhash64("k_doc", "k_mark", "k_word", "side").alias("anchor")
+    ends = scratch.written(ends.where("doc_id <> k_doc or mark <> k_mark or word <> k_word").select("*", anchor), "run-ends")
+    wanted = ends.select("k_doc", "k_mark", "k_word", "side").distinct().groupBy(F.col("k_doc").alias("doc_id"), F.col("k_mark").alias("mark")).agg(F.collect_list(F.struct("k_word", "side")).alias("wanted"))
+    windows = texts.join(wanted, ROW).mapInPandas(_windows, "k_doc long, k_mark long, k_word int, side int, words binary")
+    windows = windows.groupBy(anchor).agg(F.min("words").alias("words"))
+    by_doc = scratch.salted(ends, windows, "anchor", scratch.hot_keys(ends, "anchor"), ROW).groupBy(*ROW).agg(F.collect_list(F.struct("side", "word", "k_doc", "k_mark", "k_word", "size", "words")).alias("ends"))
+    return texts.join(by_doc, ROW).mapInPandas(_grown, "doc_id long, mark long, removed boolean, first_word int, end_word int, class_id long").distinct()
+
+
+def duplicate_runs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, shard_chars: int = 4 << 20, fan: int = route.FAN) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").where("doc_id is not null and text is not null")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards, bands = max(1, math.ceil(chars / shard_chars)), shingles.tune(threshold, recall, ROWS)
-    hits = _messages(texts, bands, shards).groupBy("shard").applyInPandas(_collide, "content long, bucket long, size long")
+    hits = _messages(texts, bands, shards, fan).groupBy("shard").applyInPandas(_collide, "content long, bucket long, size long, slices long")
     hits = scratch.written(hits, "paragraph-hits")
-    places = scratch.written(_places(texts).join(hits.select("content").distinct(), "content"), "paragraph-places")
+    once = hits.groupBy("content").agg(F.max("slices").alias("slices"))
+    hot = once.where("slices > 16").orderBy(F.desc("slices"), "content").limit(1000).select("content")
+    places = scratch.written(scratch.salted(_places(texts), once.select("content"), "content", hot, [*ROW, "word"]), "paragraph-places")
     ties = scratch.written(_near_ties(texts, hits.where("bucket is not null"), places, threshold), "paragraph-ties")
     root = components(ties)
     nodes = hits.where("bucket is null").select("content").union(ties.select("a")).union(ties.select("b")).distinct()
-    nodes = nodes.join(root, nodes["content"] == root["node"], "left").select("content", F.coalesce("root", "content").alias("class"))
-    seen = places.join(nodes, "content").select("class", "doc_id", "word")
-    keep = seen.groupBy("class").agg(F.min(F.struct("doc_id", "word")).alias("k"), F.max("doc_id").alias("last")).where("k.doc_id < last")
-    seen = scratch.joined(seen, keep.select("class", "k"), "class").select("doc_id", "word", F.struct(F.col("k.doc_id").alias("class_id"), F.col("k.word").alias("k_word")).alias("k"), (F.struct("doc_id", "word") != F.col("k")).alias("removed"))
+    nodes = scratch.written(nodes.join(root, nodes["content"] == root["node"], "left").select("content", F.coalesce("root", "content").alias("class")), "paragraph-classes")
+    seen = scratch.salted(places, nodes, "content", hot, [*ROW, "word"]).select("class", *ROW, "word")
+    keep = seen.groupBy("class").agg(F.min(F.struct(*ROW, "word")).alias("k"), F.max(F.struct(*ROW)).alias("last")).where("struct(k.doc_id, k.mark) < last")
+    hot_classes = nodes.join(F.broadcast(hot), "content", "left_semi").select("class").distinct()
+    seen = scratch.salted(seen, keep.select("class", "k"), "class", hot_classes, [*ROW, "word"]).select(*ROW, "word", F.struct(F.col("k.doc_id").alias("class_id"), F.col("k.mark").alias("k_mark"), F.col("k.word").alias("k_word")).alias("k"), (F.struct(*ROW, "word") != F.col("k")).alias("removed"))
     # Words under several paragraphs: what one of them removes is removed. Runs begin where no earlier paragraph of the kind reaches.
-    cells = seen.groupBy("doc_id", "word").agg(F.min("k").alias("k"), F.max("removed").alias("removed"))
-    w = Window.partitionBy("doc_id", "removed").orderBy("word")
+    cells = seen.groupBy(*ROW, "word").agg(F.min("k").alias("k"), F.max("removed").alias("removed"))
+    kind = [*ROW, "removed"]
+    w = Window.partitionBy(*kind).orderBy("word")
     cells = cells.withColumn("new", F.coalesce((F.lag("word").over(w) + SPAN < F.col("word")).cast("int"), F.lit(1)))
     cells = cells.withColumn("run", F.sum("new").over(w))
-    runs = cells.groupBy("doc_id", "removed", "run").agg(F.min("word").alias("first_word"), F.max("word").alias("last_word"), F.min_by("k", "word").alias("k_first"), F.max_by("k", "word").alias("k_last"))
+    runs = cells.groupBy(*kind, "run").agg(F.min("word").alias("first_word"), F.max("word").alias("last_word"), F.min_by("k", "word").alias("k_first"), F.max_by("k", "word").alias("k_last"))
     runs = scratch.written(runs, "paragraph-runs")
-    x = runs.select("doc_id", "removed", "first_word", (F.col("last_word") + SPAN).alias("end_word"), F.col("k_first.class_id").alias("class_id"))
+    x = runs.select(*kind, "first_word", (F.col("last_word") + SPAN).alias("end_word"), F.col("k_first.class_id").alias("class_id"))
     x = x.unionByName(_growth(texts, runs))
-    w = Window.partitionBy("doc_id", "removed").orderBy("first_word", "end_word")
+    w = Window.partitionBy(*kind).orderBy("first_word", "end_word")
     x = x.withColumn("new", F.coalesce((F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1)) < F.col("first_word")).cast("int"), F.lit(1)))
     x = x.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.groupBy("doc_id", "removed", "run").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min_by("class_id", F.struct("first_word", "class_id")).alias("class_id"))
+    x = x.groupBy(*kind, "run").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min_by("class_id", F.struct("first_word", "class_id")).alias("class_id"))
     # A paragraph that other copies keep here is no kept run where this text's removed runs have grown over it.
-    over = F.max(F.when(F.col("removed"), F.col("end_word"))).over(Window.partitionBy("doc_id").orderBy("first_word", F.desc("removed")).rowsBetween(Window.unboundedPreceding, 0))
+    over = F.max(F.when(F.col("removed"), F.col("end_word"))).over(Window.partitionBy(*ROW).orderBy("first_word", F.desc("removed")).rowsBetween(Window.unboundedPreceding, 0))
     x = x.withColumn("over", over).where("removed or over is null or over < end_word")
-    return x.select("doc_id", "first_word", "end_word", "removed", "class_id")
+    return x.select("doc_id", "first_word", "end_word", "removed", "class_id", F.col("mark").alias("text_hash"))
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -323,11 +330,14 @@ def without(text: str, runs: list[tuple[int, int]]) -> str:
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The input's rows with the removed runs cut out of their texts; n_chars, if there is one, follows. Rows whose text is left empty go."""
-    runs = duplicate_runs(docs, **how).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word"))).alias("__runs"))
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id")
+    runs = duplicate_runs(docs.select(ident, "text"), **how).where("removed").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word"))).alias("runs"))
     cut = F.pandas_udf(lambda t, r: pd.Series([x if y is None else without(x, [(c["first_word"], c["end_word"]) for c in y]) for x, y in zip(t, r, strict=True)]), "string")
-    x = docs.alias("d").join(runs.select(F.col("doc_id").alias("__id"), "__runs"), F.col("d.doc_id") == F.col("__id"), "left")
-    x = x.withColumn("__new", F.when(F.col("__runs").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")), "__runs")))
-    x = x.where("__runs is null or text is null or __new <> ''")
-    if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("__new")).cast(docs.schema["n_chars"].dataType))
-    return x.withColumn("text", F.col("__new")).select(*docs.columns)
+    x = docs.select(F.struct("*").alias("row"), ident, F.xxhash64("text").alias("text_hash")).join(runs, ["doc_id", "text_hash"], "left")
+    old = F.col("row")["text"]
+    x = x.select("row", "runs", F.when(F.col("runs").isNull() | old.isNull(), old).otherwise(cut(F.coalesce(old, F.lit("")), "runs")).alias("new"))
+    x = x.where("runs is null or row.text is null or new <> ''")
+    value = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in value:
+        value["n_chars"] = F.when(F.col("runs").isNull(), value["n_chars"]).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)
+    return x.select(*[v.alias(c) for c, v in value.items()])

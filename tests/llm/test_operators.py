@@ -305,11 +305,42 @@ def test_join_equals_brute_force(docs):
                 links[b] += 1
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    for block in (512, 8):  # 8: components are cut into pairs of blocks
-        got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.join(docs, block=block).collect()}
+    # 8, and few n-grams: groups are cut into pairs of blocks; 1: components go by their buckets.
+    for how in ({}, {"block": 8}, {"block": 1}, {"block_grams": 400}):
+        got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.join(docs, **how).collect()}
         assert got == {i: (find(i), links[i]) for i in ids}
 
 
+def test_pairs_are_verified_once_by_buckets():
+    rng = np.random.default_rng(1)
+    bands = rng.integers(0, 3, (40, 6))
+    shared = [jaccard.first_shared(bands, 1 << k) for k in range(6)]
+    assert (sum(s.astype(int) for s in shared) == (bands[:, None, :] == bands[None, :, :]).any(2)).all()
+
+
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(31)
+    a, c = prose(rng, 120, 10**6), prose(rng, 150, 10**6)
+    near = c + " three more words"
+    rows = [row(1, a), row(2, a), row(2, c), row(3, near), row(4, prose(rng, 80, 10**6)), row(4, prose(rng, 90, 10**6)), row(5, a, "other"), row(1, a), row(1, a, "b"), row(6, None), row(6, None), row(None, a), row(None, prose(rng, 70, 10**6))]
+    got = [(r["doc_id"], r["text"]) for r in jaccard.kept_rows(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, c), rows[4][:2], rows[5][:2], (6, None), rows[-1][:2]], key=str)
+
+
+def test_passages_go_row_by_row(spark):
+    rng = random.Random(37)
+    passage, c = prose(rng, 60, 10**6), prose(rng, 150, 10**6)
+    rows = [row(1, f"{prose(rng, 40, 10**6)} {passage}"), row(2, f"{prose(rng, 50, 10**6)} {passage}"), row(2, c), row(2, c), row(None, f"{passage} {prose(rng, 30, 10**6)}")]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in substr.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect())
+    cut = [r[1].replace(passage, "").strip() for r in rows]
+    assert got == {rows[0][:2]: 1, (2, cut[1]): 1, (2, c): 2, (None, cut[4]): 1}
+
+
+def test_messages_through_several_passes_say_the_same(docs):
+    one = substr.duplicate_runs(docs, shard_chars=2000)
+    assert substr.duplicate_runs(docs, shard_chars=2000, fan=3).exceptAll(one).count() == 0 and one.count() > 0
+
+
 def test_join_odd(odd, none):
     got = sorted((r["doc_id"], r["class_id"], r["links"]) for r in jaccard.join(odd).collect())
     assert (5, 5, 2) in got and (50, 5, 2) in got and (0, 0, 0) in got and (8, 8, 2) in got
