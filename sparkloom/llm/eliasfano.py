@@ -78,6 +78,11 @@ class EliasFano:
         pos = w * 64 + _nth_zero_in(~self.high[w], r)
         return ((pos - i).astype(np.uint64) << U(self.l)) | self._low(i)
 
+    def all(self) -> np.ndarray:
+        """All elements, in order."""
+        up = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")) - np.arange(self.n)
+        return up.astype(np.uint64) << U(self.l) | self._low(np.arange(self.n))
+
     def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Position of the first element that is at least x, within lo <= position < hi, and whether it equals x."""
         x = np.ascontiguousarray(x, np.uint64)
@@ -129,28 +134,36 @@ def log10_of(code: np.ndarray) -> np.ndarray:
     return code * STEP - _SHIFT
 
 
+def _keys(rank: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    return words if bits == 64 else rank << U(bits) | words
+
+
 class TrieLevel:
     """Nodes (contexts) and their successors.
 
     contexts: hashes of contexts; pointers: where each context's successors begin;
-    successors: (rank of the context) * 2^40 + 40 bits of the word's hash; values:
-    quantised log10 of successors, and of the contexts' backoff weights.
+    successors: (rank of the context) * 2^bits + so many bits of the word's hash (64 where
+    there is but one context); values: quantised log10 of successors, and of the
+    contexts' backoff weights.
     """
 
     def __init__(self, buffer):
-        self.contexts, at = EliasFano.frombuffer(buffer, 0)
+        self.bits = struct.unpack_from("<Q", buffer, 0)[0]
+        self.contexts, at = EliasFano.frombuffer(buffer, 8)
         self.pointers, at = EliasFano.frombuffer(buffer, at)
         self.successors, at = EliasFano.frombuffer(buffer, at)
         self.values = np.frombuffer(buffer, np.uint16, self.successors.n, at)
         self.backoffs = np.frombuffer(buffer, np.uint16, self.contexts.n, at + 2 * self.successors.n)
 
     @staticmethod
-    def build(contexts: np.ndarray, start: np.ndarray, words: np.ndarray, values: np.ndarray, backoffs: np.ndarray) -> bytes:
+    def build(contexts: np.ndarray, start: np.ndarray, words: np.ndarray, values: np.ndarray, backoffs: np.ndarray, bits: int = WORD_BITS) -> bytes:
         """contexts ascend; successors of context k are words[start[k]:start[k + 1]], ascending."""
+        if len(contexts).bit_length() - 1 + bits > 64 - (bits < 64):
+            raise ValueError(f"{len(contexts)} contexts and {bits} bits of a word don't fit a key")
         rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(start))
-        key = rank << U(WORD_BITS) | words
-        parts = [EliasFano.build(contexts, 1 << 64), EliasFano.build(start, len(words) + 1), EliasFano.build(key, max(1, len(contexts)) << WORD_BITS)]
-        return b"".join([*(p.tobytes() for p in parts), values.tobytes(), backoffs.tobytes()])
+        key = _keys(rank, words, bits)
+        parts = [EliasFano.build(contexts, 1 << 64), EliasFano.build(start, len(words) + 1), EliasFano.build(key, max(1, len(contexts)) << bits)]
+        return b"".join([struct.pack("<Q", bits), *(p.tobytes() for p in parts), values.tobytes(), backoffs.tobytes()])
 
     @classmethod
     def open(cls, path: str) -> TrieLevel:
@@ -167,6 +180,6 @@ class TrieLevel:
         lo, hi = self.pointers.get(r).astype(np.int64), self.pointers.get(r + 1).astype(np.int64)
         ask = np.flatnonzero(hit[which])
         k = which[ask]
-        p, found = self.successors.successor(r[k].astype(np.uint64) << U(WORD_BITS) | words[ask], lo[k], hi[k])
+        p, found = self.successors.successor(_keys(r[k].astype(np.uint64), words[ask], self.bits), lo[k], hi[k])
         out[ask[found]] = self.values[p[found]]
         return out, np.where(hit, self.backoffs[r], 0).astype(np.uint16)

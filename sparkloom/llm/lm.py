@@ -2,26 +2,34 @@
 
 Training tokens of all documents outside the held-out fold are counted into n-grams
 of every order up to `order`. P(w|h) = (c(hw) + T(h) P(w|h')) / (c(h) + T(h)), with
-T(h) the number of distinct words after h (Witten and Bell); the lowest order mixes in
-1/(V+1). Each level's (c(hw) / (c(h) + T(h)), T(h) / (c(h) + T(h))) are the quantised
-values of its tries.
+T(h) the number of distinct words after h (Witten and Bell); below the lowest order,
+whose only context is the empty one, stands 1/(V+1). Each level's
+(c(hw) / (c(h) + T(h)), T(h) / (c(h) + T(h))) are the quantised values of its tries.
 
 Texts are tokenised once into blocks, rows of a table in the shared folder. A block
-sends its distinct n-grams to shards by a hash of the context; a shard adds them up,
-builds its trie level, looks every n-gram up in it and returns codes to the blocks,
-which sum them over their texts. So no executor needs more than its shards, whose
-number grows with the tokens. Contexts that begin with words of over 1/256 of a
-block's tokens may follow a third of all tokens: their successors are dealt by the
-word as well, and their c(h) and T(h) are summed over shards (at most 256 to the
-power of the context's length, if as many exist; each is a few bytes on the driver).
-A hot n-gram is one row of a block. With order 2, as by default, what moves is about
-10 bytes for each distinct bigram of a block.
+sends its distinct n-grams to shards by a hash of the context, as Elias-Fano sequences;
+a shard adds them up, builds its trie level, looks every n-gram up in it by successor
+search within its context and returns codes to the blocks, which sum them over their
+texts. No executor needs more than its shards, whose number grows with the tokens.
+
+A block has at most `fan` messages an order, each for a range of shards. Where a range
+is more than one shard, messages of some blocks are merged in a unit and sent on, and
+their replies come back the same way: messages follow the entries, one pass for each
+power of `fan` in the number of shards.
+
+Contexts that begin with words of over 1/256 of a block's tokens may follow a third of
+all tokens: their successors are dealt by the word as well, as those of the empty
+context are, and their c(h) and T(h) are summed over shards (at most 257 to the power
+of the context's length, if as many exist; each is a few bytes on the driver). A hot
+n-gram is one row of a block.
 
 Tokens: lower-cased (A-Z only) runs of other than ASCII white space, then one end
 token; null text is empty and has the end token only. Known are tokens with a
-training count. Words are 64-bit hashes, and 40 bits of them inside one context.
-Rows with a null id are scored but not learned from. Repeated rows count as they
-stand. An empty table gives no rows. Only doc_id and text are read.
+training count. Words are 64-bit hashes; inside a shard a longer n-gram is 36 bits of
+its context's hash and 28 of the word's, so that of a shard's million contexts some 15
+share a name with another. Rows with a null id are scored but not learned from.
+Repeated rows count as they stand; a very long text is a block of its own. An empty
+table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -37,16 +45,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import labelled, scratch, shingles
-from .eliasfano import WORD_BITS, TrieLevel, log10_of, mapped, quantised
+from . import labelled, route, scratch, shingles
+from .eliasfano import EliasFano, TrieLevel, log10_of, mapped, quantised
 from .memory import trim
 from .shingles import mixed
 
-END, BEGIN = np.uint64(0x6E1D_0000_0000_0001), np.uint64(0xBE61_0000_0000_0001)
+END, BEGIN, ROOT = np.uint64(0x6E1D_0000_0000_0001), np.uint64(0xBE61_0000_0000_0001), np.uint64(0x0007_0000_0000_0001)
 BLOCK_BYTES = 6 << 20
 HOT = 256
+BITS = 28
+UNIT = 16 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_WORD = np.uint64((1 << WORD_BITS) - 1)
+_LOW = np.uint64((1 << BITS) - 1)
+_SHIFT = np.uint64(BITS)
 
 
 def _packed(x) -> bytes:
@@ -80,13 +91,81 @@ def tokenised(docs: DataFrame, parts: int, held: int) -> DataFrame:
     return scratch.written(x.mapInArrow(run, "block string, tokens long, hot array<struct<h: long, n: long>>, payload binary"), "lm-blocks", big=True)
 
 
+def _runs(x: np.ndarray, shard: np.ndarray | None = None) -> np.ndarray:
+    """Where a new value begins."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    new = x[1:] != x[:-1]
+    return np.flatnonzero(np.concatenate([[True], new if shard is None else new | (shard[1:] != shard[:-1])]))
+
+
+class Entries:
+    """Distinct n-grams of one order, in order of shard and key, with the flag of split contexts and training counts."""
+
+    def __init__(self, k: int, shard: np.ndarray, key: np.ndarray, split: np.ndarray, count: np.ndarray):
+        self.k, self.shard, self.key, self.split, self.count = k, shard, key, split, count
+
+    def contexts(self) -> np.ndarray:
+        """Where a new context begins."""
+        return _runs(self.key >> _SHIFT, self.shard)
+
+    def cut(self, width: int, order: int):
+        """(lane, the entries' positions) of each range of so many shards."""
+        first = _runs(self.shard // width)
+        for a, b in zip(first, np.append(first[1:], len(self.key)), strict=True):
+            yield int(self.shard[a]) // width * order + self.k - 1, slice(int(a), int(b))
+
+    def message(self, part: slice, width: int) -> bytes:
+        count = self.count[part]
+        count = count.astype(np.uint8) if count.max(initial=0) < 256 else count.astype(np.uint32) if count.max() < 1 << 32 else count
+        keys = EliasFano.build(self.key[part], 1 << 64).tobytes() if width == 1 else _packed((self.shard[part].astype(np.uint32), self.key[part]))
+        return pickle.dumps((keys, _packed((np.packbits(self.split[part]), count))), 5)
+
+    @classmethod
+    def read(cls, message: bytes, lane: int, width: int, order: int) -> Entries:
+        keys, rest = pickle.loads(message)
+        split, count = _unpacked(rest)
+        if width == 1:
+            key = EliasFano.frombuffer(keys, 0)[0].all()
+            shard = np.full(len(key), lane // order, np.int64)
+        else:
+            shard, key = _unpacked(keys)
+            shard = shard.astype(np.int64)
+        return cls(lane % order + 1, shard, key, np.unpackbits(split, count=len(key)).astype(bool), count.astype(np.int64))
+
+    @classmethod
+    def merged(cls, parts: list[Entries]) -> tuple[Entries, np.ndarray]:
+        """All entries of some messages, and the place of each in turn."""
+        shard, key, split, count = (np.concatenate([getattr(p, x) for p in parts]) for x in ("shard", "key", "split", "count"))
+        order = np.lexsort((key, shard))
+        first = _runs(key[order], shard[order])
+        place = np.empty(len(key), np.int64)
+        place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        pick = order[first]
+        total = np.add.reduceat(count[order], first) if len(first) else count
+        return cls(parts[0].k, shard[pick], key[pick], split[pick], total), place
+
+
+def reply(e: Entries, code: np.ndarray, other: np.ndarray) -> bytes:
+    """Value codes, and counts (order 1) or backoff codes of the contexts."""
+    if e.k > 1:
+        return _packed((code, other[e.contexts()]))
+    return _packed((code, other.astype(np.uint32) if other.max(initial=0) < 1 << 32 else other))
+
+
+def read_reply(e: Entries, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    code, other = _unpacked(data)
+    first = e.contexts()
+    return code, np.repeat(other, np.diff(np.append(first, len(e.key)))) if e.k > 1 else other
+
+
 class Block:
-    """The distinct n-grams of a block's texts, by order, in an order that only depends on the block."""
+    """The distinct n-grams of a block's texts, by order; what they are only depends on the block."""
 
     def __init__(self, payload: bytes, order: int, hot: np.ndarray, shards: int):
         self.ids, self.out, learn, starts, codes, h = _unpacked(payload)
         m = len(self.ids)
-        self.words = np.concatenate([h, [END]]).astype(np.uint64)
+        words = np.concatenate([h, [END]]).astype(np.uint64)
         self.n = np.diff(starts) + 1
         ends = np.cumsum(self.n)
         self.begin = ends - self.n
@@ -96,114 +175,154 @@ class Block:
         w[inner] = codes
         at = np.arange(len(w)) - np.repeat(self.begin, self.n)
         trained = np.repeat(learn, self.n)
-        is_hot = np.isin(np.concatenate([self.words, [BEGIN]]), np.concatenate([hot, [BEGIN]]))
-        self.levels = []
+        is_hot = np.isin(np.concatenate([words, [BEGIN]]), np.concatenate([hot, [BEGIN]]))
+        #: For each order, the positions that have such an n-gram, the entry of each, and the entries.
+        self.levels: list[tuple[np.ndarray, np.ndarray, Entries]] = []
+
+        def level(k: int, where: np.ndarray, inverse: np.ndarray, key: np.ndarray, by: np.ndarray, split: np.ndarray) -> None:
+            shard = (mixed(by + np.uint64(k)) % np.uint64(shards)).astype(np.int64)
+            count = np.bincount(inverse, trained[where], minlength=len(key)).astype(np.int64)
+            o = np.argsort(key)
+            o = o[np.argsort(shard[o].astype(np.uint16) if shards < 1 << 16 else shard[o], kind="stable")]
+            place = np.empty(len(o), np.int64)
+            place[o] = np.arange(len(o))
+            self.levels.append((where, place[inverse], Entries(k, shard[o], key[o], split[o], count[o])))
+
+        level(1, np.arange(len(w)), w, words, words * _MUL + ROOT, np.ones(len(words), bool))
         # A context is a number below `size`, with its hash and whether all its words are hot.
-        context, size, c_hash, c_hot = np.where(at > 0, np.roll(w, 1), len(self.words)), len(self.words) + 1, mixed(np.concatenate([self.words, [BEGIN]]) * _MUL), is_hot
-        n_train = np.bincount(w, trained, minlength=len(self.words)).astype(np.int64)
-        shard = (mixed(self.words) % np.uint64(shards)).astype(np.int64)
-        self.levels.append({"where": None, "inverse": w, "word": np.arange(len(self.words)), "count": n_train, "order": np.argsort(shard, kind="stable"), "shard": shard})
+        context, c_hash, c_hot = np.where(at > 0, np.roll(w, 1), len(words)), mixed(np.concatenate([words, [BEGIN]]) * _MUL), is_hot
         for k in range(2, order + 1):
             where = np.flatnonzero(at >= k - 2)
-            key, inverse, total = np.unique(context[where] * len(self.words) + w[where], return_inverse=True, return_counts=True)
-            count = np.bincount(inverse, trained[where], minlength=len(key)).astype(np.int64)
-            ctx, word = key // len(self.words), key % len(self.words)
-            split = c_hot[ctx]
-            route = np.where(split, mixed(c_hash[ctx] + self.words[word]), c_hash[ctx])
-            shard = (mixed(route + np.uint64(k)) % np.uint64(shards)).astype(np.int64)
-            self.levels.append({"where": where, "inverse": inverse, "word": word, "ctx": c_hash[ctx], "split": split, "count": count, "order": np.argsort(shard, kind="stable"), "shard": shard})
-            gram = np.full(len(w), -1)
-            gram[where] = inverse
-            context, size = np.roll(gram, 1), len(key)
-            c_hash, c_hot = mixed(c_hash[ctx] * _MUL + self.words[word]), split & is_hot[word]
-
-    def sent(self):
-        """(shard, level, entries of the shard) for each."""
-        for k, level in enumerate(self.levels, 1):
-            s = level["shard"][level["order"]]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, int)
-            for a, b in zip(first, np.append(first[1:], len(s)), strict=True):
-                yield int(s[a]), k, level["order"][a:b]
-
-    def message(self, k: int, e: np.ndarray) -> tuple:
-        level = self.levels[k - 1]
-        count = level["count"][e]
-        count = count.astype(np.uint8) if count.max(initial=0) < 256 else count.astype(np.uint32)
-        if k == 1:
-            return self.words[level["word"][e]], count
-        first = _runs(level["ctx"][e])
-        w = self.words[level["word"][e]] & _WORD
-        return level["ctx"][e][first], np.diff(np.append(first, len(e))).astype(np.uint32), level["split"][e][first], (w >> np.uint64(8)).astype(np.uint32), (w & np.uint64(255)).astype(np.uint8), count
-
-
-def _runs(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-
-
-def _unigrams(messages: list[tuple]) -> tuple[list[bytes], int, int]:
-    words = np.concatenate([m[0] for m in messages])
-    u, inverse = np.unique(words, return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([m[1] for m in messages]).astype(np.float64), minlength=len(u)).astype(np.int64)
-    out, at = [], 0
-    for m in messages:
-        c = total[inverse[at : at + len(m[0])]]
-        out.append(_packed(c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c))
-        at += len(m[0])
-    return out, int(total.sum()), int((total > 0).sum())
-
-
-def build_level(rank: np.ndarray, words: np.ndarray, count: np.ndarray, contexts: np.ndarray, split: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The trie of the entries with a training count (in order of rank and word), and c(h) and T(h) of each context."""
-    seen = count > 0
-    rank, words, count = rank[seen], words[seen], count[seen].astype(np.float64)
-    c, t = np.bincount(rank, count, minlength=len(contexts)), np.bincount(rank, minlength=len(contexts))
+            gram, inverse = np.unique(context[where] * len(words) + w[where], return_inverse=True)
+            ctx, word = gram // len(words), gram % len(words)
+            split, whole = c_hot[ctx], words[word]
+            key = c_hash[ctx] & ~_LOW | whole & _LOW
+            level(k, where, inverse, key, np.where(split, mixed(c_hash[ctx] + whole), c_hash[ctx]), split)
+            now = np.full(len(w), -1)
+            now[where] = inverse
+            context = np.roll(now, 1)
+            c_hash, c_hot = mixed(c_hash[ctx] * _MUL + whole), split & is_hot[word]
+
+    def sent(self, width: int, order: int):
+        """(lane, message) of each range of shards."""
+        for _, _, e in self.levels:
+            for lane, part in e.cut(width, order):
+                yield lane, e.message(part, width)
+
+
+def build_level(e: Entries) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The trie level of a shard's entries with a training count; the contexts, which of them each entry has, and their c(h) and T(h)."""
+    if e.k == 1:
+        contexts, rank, words, bits, split = np.array([ROOT]), np.zeros(len(e.key), np.int64), e.key, 64, np.array([True])
+    else:
+        first = e.contexts()
+        contexts, words, bits, split = e.key[first] & ~_LOW, e.key & _LOW, BITS, e.split[first]
+        rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(e.key))))
+    seen = e.count > 0
+    r, count = rank[seen], e.count[seen].astype(float)
+    c, t = np.bincount(r, count, minlength=len(contexts)), np.bincount(r, minlength=len(contexts))
     live = t > 0
-    value = np.log10(count) - np.where(split, 0.0, np.log10(np.maximum(c + t, 1)))[rank]
+    value = np.log10(count) - np.where(split, 0.0, np.log10(np.maximum(c + t, 1)))[r]
     backoff = np.where(split[live], 1, quantised(np.log10(t[live] / (c[live] + t[live]))))
     start = np.concatenate([[0], np.cumsum(t[live])])
-    return TrieLevel.build(contexts[live], start, words, quantised(value), backoff.astype(np.uint16)), c, t
-
-
-def _ngrams(messages: list[tuple]) -> tuple[list[bytes], list[dict]]:
-    ctx = np.concatenate([m[0] for m in messages])
-    contexts, c_inv = np.unique(ctx, return_inverse=True)
-    split = np.zeros(len(contexts), bool)
-    split[c_inv] = np.concatenate([m[2] for m in messages])
-    which = np.repeat(c_inv, np.concatenate([m[1] for m in messages]))
-    words = np.concatenate([m[3] for m in messages]).astype(np.uint64) << np.uint64(8) | np.concatenate([m[4] for m in messages])
-    # Contexts number below 2^24 in a shard, so that both fit one key.
-    key, inverse = np.unique(which.astype(np.uint64) << np.uint64(WORD_BITS) | words, return_inverse=True)
-    del words, which
-    count = np.bincount(inverse, np.concatenate([m[5] for m in messages]).astype(np.float64), minlength=len(key)).astype(np.int64)
-    rank, word = (key >> np.uint64(WORD_BITS)).astype(np.int64), key & _WORD
-    data, c, t = build_level(rank, word, count, contexts, split)
-    code, backoff = TrieLevel(mapped(data)).find(contexts, rank, word)
-    out, at, at_c = [], 0, 0
-    for m in messages:
-        n = len(m[5])
-        out.append(_packed((code[inverse[at : at + n]], backoff[c_inv[at_c : at_c + len(m[0])]])))
-        at, at_c = at + n, at_c + len(m[0])
-    sums = [{"h": int(h), "c": int(a), "t": int(b)} for h, a, b in zip(contexts[split].view(np.int64), c[split], t[split], strict=True)]
-    return out, sums
-
-
-def score(docs: DataFrame, order: int = 2, parts: int = 7, held: int = 2, shard_tokens: int = 1_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return TrieLevel.build(contexts[live], start, words[seen], quantised(value), backoff.astype(np.uint16), bits), contexts, rank, c, t
+
+
+def _answered(e: Entries) -> tuple[np.ndarray, np.ndarray, int, int, list[dict]]:
+    """Of a shard's entries: value codes, counts or backoff codes, tokens and words (order 1), sums of split contexts."""
+    data, contexts, rank, c, t = build_level(e)
+    code, backoff = TrieLevel(mapped(data)).find(contexts, rank, e.key if e.k == 1 else e.key & _LOW)
+    if e.k == 1:
+        return code, e.count, int(c[0]), int(t[0]), []
+    s = np.flatnonzero(e.split[e.contexts()])
+    sums = [{"k": e.k, "h": int(h), "c": int(a), "t": int(b)} for h, a, b in zip(contexts[s].view(np.int64), c[s], t[s], strict=True)]
+    return code, backoff[rank], 0, 0, sums
+
+
+SENT = "lane long, src string, message binary"
+REPLIES = "lane long, src string, answer binary"
+TOTALS = "n long, v long, sums array<struct<k: int, h: long, c: long, t: long>>"
+
+
+def _exchange(sent: DataFrame, widths: list[int], order: int, unit: int) -> tuple[DataFrame, DataFrame]:
+    """Replies (lane, src, answer) to messages, and totals."""
+    width = widths[0]
+
+    def answer(p: pd.DataFrame) -> pd.DataFrame:
+        lane = int(p["lane"].iloc[0])
+        parts = [Entries.read(m, lane, 1, order) for m in p["message"]]
+        e, place = Entries.merged(parts)
+        code, other, n, v, sums = _answered(e)
+        out, at = [], 0
+        for x in parts:
+            mine = place[at : at + len(x.key)]
+            at += len(mine)
+            out.append(reply(x, code[mine], other[mine]))
+        del parts, e, place
+        trim()
+        first = [True] + [False] * (len(out) - 1)
+        return pd.DataFrame({"lane": lane, "src": p["src"], "answer": out, "n": [n * f for f in first], "v": [v * f for f in first], "sums": [sums if f else [] for f in first]})
+
+    if width == 1:
+        found = scratch.written(sent.groupBy("lane").applyInPandas(answer, f"{REPLIES}, {TOTALS}"), "lm-answers", big=True)
+        return found.drop("n", "v", "sums"), found.select("n", "v", "sums")
+    sent = scratch.written(sent, "lm-messages", big=True)
+    size, lanes = sent.agg(F.sum(F.octet_length("message")), F.count_distinct("lane")).first()
+    batches = max(1, math.ceil((size or 0) / max(1, lanes) / unit))
+    sent = sent.withColumn("unit", F.concat_ws(":", "lane", F.pmod(F.xxhash64("src"), F.lit(batches))))
+
+    def united(p: pd.DataFrame) -> tuple[list[Entries], Entries, np.ndarray]:
+        parts = [Entries.read(m, int(p["lane"].iloc[0]), width, order) for m in p["message"]]
+        return parts, *Entries.merged(parts)
+
+    def finer(p: pd.DataFrame) -> pd.DataFrame:
+        e = united(p)[1]
+        rows = [(lane, p["unit"].iloc[0], e.message(part, widths[1])) for lane, part in e.cut(widths[1], order)]
+        return pd.DataFrame(rows, columns=["lane", "src", "message"])
+
+    def back(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        parts, e, place = united(p)
+        code, other = _gathered(e, dict(zip(r["lane"], r["answer"], strict=True)), widths[1], order)
+        out, at = [], 0
+        for x in parts:
+            mine = place[at : at + len(x.key)]
+            at += len(mine)
+            out.append(reply(x, code[mine], other[mine]))
+        trim()
+        return pd.DataFrame({"lane": p["lane"], "src": p["src"], "answer": out})
+
+    replies, totals = _exchange(sent.groupBy("unit").applyInPandas(finer, SENT), widths[1:], order, unit)
+    mine = sent.groupBy("unit").cogroup(replies.withColumnRenamed("src", "unit").groupBy("unit")).applyInPandas(back, REPLIES)
+    return scratch.written(mine, "lm-answers", big=True), totals
+
+
+def _gathered(e: Entries, replies: dict[int, bytes], width: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Value codes, and counts or backoff codes, of all entries."""
+    code, other = np.zeros(len(e.key), np.uint16), np.zeros(len(e.key), np.int64 if e.k == 1 else np.uint16)
+    for lane, part in e.cut(width, order):
+        code[part], other[part] = read_reply(Entries(e.k, e.shard[part], e.key[part], e.split[part], e.count[part]), replies[lane])
+    return code, other
+
+
+def _plan(docs: DataFrame, parts: int, held: int, shard_tokens: int, fan: int):
+    """Blocks, hot words (HOT at most), number of shards, widths of the passes."""
     blocks = tokenised(docs, parts, held)
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
     hot = blocks.select(F.inline("hot")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * HOT > tokens)
-    hot = np.array(sorted(r[0] for r in hot.collect()), np.int64).view(np.uint64)  # at most HOT words
+    hot = np.array(sorted(r[0] for r in hot.collect()), np.int64).view(np.uint64)
     shards = max(1, math.ceil(tokens / shard_tokens))
+    return blocks, hot, shards, route.hops(shards, fan)
 
+
+def _sent(blocks: DataFrame, hot: np.ndarray, shards: int, width: int, order: int) -> DataFrame:
     def send(batches):
         for b in batches:
             for name, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                block = Block(payload.as_buffer(), order, hot, shards)
                 rows: list[tuple] = []
                 size = 0
-                for shard, k, e in block.sent():
-                    rows.append((shard * (order + 1) + k, name, x := _packed(block.message(k, e))))
-                    size += len(x)
+                for lane, message in Block(payload.as_buffer(), order, hot, shards).sent(width, order):
+                    rows.append((lane, name, message))
+                    size += len(message)
                     if size > 4 << 20:
                         yield _batch(rows)
                         rows, size = [], 0
@@ -211,67 +330,58 @@ def score(docs: DataFrame, order: int = 2, parts: int = 7, held: int = 2, shard_
                     yield _batch(rows)
 
     def _batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.binary()], strict=True)], names=["shard", "block", "message"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.binary()], strict=True)], names=["lane", "src", "message"])
 
-    def answer(p: pd.DataFrame) -> pd.DataFrame:
-        shard = int(p["shard"].iloc[0])
-        messages = [_unpacked(x) for x in p["message"]]
-        n = v = 0
-        sums: list[dict] = []
-        if shard % (order + 1) == 1:
-            out, n, v = _unigrams(messages)
-        else:
-            out, sums = _ngrams(messages)
-        del messages
-        trim()
-        first = [True] + [False] * (len(out) - 1)
-        return pd.DataFrame({"shard": shard, "block": p["block"], "answer": out, "n": [n * f for f in first], "v": [v * f for f in first], "sums": [sums if f else [] for f in first]})
-
-    sent = blocks.select("block", "payload").mapInArrow(send, "shard long, block string, message binary")
-    answers = sent.groupBy("shard").applyInPandas(answer, "shard long, block string, answer binary, n long, v long, sums array<struct<h: long, c: long, t: long>>")
-    answers = scratch.written(answers, "lm-answers", big=True)
-    n_all, v_all = answers.agg(F.sum("n"), F.sum("v")).first()
-    n_all, v_all = n_all or 0, v_all or 0
-    total = answers.select(F.inline("sums")).groupBy("h").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
-    split_hash = np.array([r[0] for r in total], np.int64).view(np.uint64)
-    o = np.argsort(split_hash)
-    split_hash, split_c, split_t = split_hash[o], np.array([r[1] for r in total], float)[o], np.array([r[2] for r in total], float)[o]
+    return blocks.select("block", "payload").mapInArrow(send, SENT)
+
+
+def levels(docs: DataFrame, order: int = 3, parts: int = 7, held: int = 2, shard_tokens: int = 1_000_000) -> DataFrame:
+    """The model itself: (lane, order, level), a trie level of each shard and order as bytes that `TrieLevel` reads from a memory map."""
+    blocks, hot, shards, _ = _plan(docs, parts, held, shard_tokens, 1 << 30)
+
+    def built(p: pd.DataFrame) -> pd.DataFrame:
+        lane = int(p["lane"].iloc[0])
+        e, _ = Entries.merged([Entries.read(m, lane, 1, order) for m in p["message"]])
+        return pd.DataFrame({"lane": [lane], "order": [e.k], "level": [build_level(e)[0]]})
+
+    return scratch.written(_sent(blocks, hot, shards, 1, order).groupBy("lane").applyInPandas(built, "lane long, order int, level binary"), "lm-levels", big=True)
+
+
+def score(docs: DataFrame, order: int = 3, parts: int = 7, held: int = 2, shard_tokens: int = 1_000_000, fan: int = route.FAN, unit: int = UNIT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    blocks, hot, shards, widths = _plan(docs, parts, held, shard_tokens, fan)
+    answers, totals = _exchange(_sent(blocks, hot, shards, widths[0], order), widths, order, unit)
+    n_all, v_all = (x or 0 for x in totals.agg(F.sum("n"), F.sum("v")).first())
+    found = totals.select(F.inline("sums")).groupBy("k", "h").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
+    split = {k: sorted((int(np.int64(r["h"]).view(np.uint64)), r["c"], r["t"]) for r in found if r["k"] == k) for k in range(2, order + 1)}
+    split = {k: (np.array([x[0] for x in v], np.uint64), np.array([x[1] for x in v], float), np.array([x[2] for x in v], float)) for k, v in split.items()}
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        replies = {(s // (order + 1), s % (order + 1)): a for s, a in zip(right.column("shard").to_pylist(), right.column("answer").to_pylist(), strict=True)}
+        replies = dict(zip(right.column("lane").to_pylist(), right.column("answer").to_pylist(), strict=True))
         for payload in left.column("payload"):
             block = Block(payload.as_buffer(), order, hot, shards)
-            level = block.levels[0]
-            count = np.zeros(len(block.words), np.int64)
-            for shard, k, e in block.sent():
-                if k == 1:
-                    count[e] = _unpacked(replies[shard, k])
-            count = count[level["inverse"]]
-            p = (count + v_all / (v_all + 1) if v_all else np.ones(len(count))) / max(1, n_all + v_all)
-            for k in range(2, order + 1):
-                level = block.levels[k - 1]
-                value, back = np.zeros(len(level["word"]), np.uint16), np.zeros(len(level["word"]), np.uint16)
-                for shard, kk, e in block.sent():
-                    if kk == k:
-                        value[e], b = _unpacked(replies[shard, k])
-                        first = _runs(level["ctx"][e])
-                        back[e] = np.repeat(b, np.diff(np.append(first, len(e))))
-                direct = np.where(value > 0, 10.0 ** log10_of(value.astype(float)), 0.0)
-                weight = np.where(back > 0, 10.0 ** log10_of(back.astype(float)), 1.0)
-                s = np.flatnonzero(level["split"])
-                if len(s) and len(split_hash):
-                    j = np.minimum(np.searchsorted(split_hash, level["ctx"][s]), len(split_hash) - 1)
-                    ok = (split_hash[j] == level["ctx"][s]) & (split_t[j] > 0)
-                    whole = split_c[j] + split_t[j]
+            count = p = np.zeros(0)
+            for where, inverse, e in block.levels:
+                code, other = _gathered(e, replies, widths[0], order)
+                direct = np.where(code > 0, 10.0 ** log10_of(code.astype(float)), 0.0)
+                if e.k == 1:
+                    count = other[inverse]
+                    p = (direct[inverse] + v_all / (v_all + 1)) / (n_all + v_all) if v_all else np.ones(len(count))
+                    continue
+                weight = np.where(other > 0, 10.0 ** log10_of(other.astype(float)), 1.0)
+                s, (names, c, t) = np.flatnonzero(e.split), split[e.k]
+                if len(s) and len(names):
+                    name = e.key[s] & ~_LOW
+                    j = np.minimum(np.searchsorted(names, name), len(names) - 1)
+                    ok, whole = (names[j] == name) & (t[j] > 0), c[j] + t[j]
                     direct[s] = np.where(ok, direct[s] / np.maximum(whole, 1), 0.0)
-                    weight[s] = np.where(ok, split_t[j] / np.maximum(whole, 1), 1.0)
-                w, i = level["where"], level["inverse"]
-                p[w] = direct[i] + weight[i] * p[w]
+                    weight[s] = np.where(ok, t[j] / np.maximum(whole, 1), 1.0)
+                p[where] = direct[inverse] + weight[inverse] * p[where]
             sums = [np.add.reduceat(x, block.begin) if len(block.begin) else np.zeros(0) for x in (count > 0, np.log10((count + 1) / (n_all + v_all + 1)), np.log10(p))]
             out.append(pa.table([pa.array(block.ids, pa.int64()), pa.array(block.out), pa.array(block.n.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(block.ids), n_all, np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=schema))
         trim()
         return pa.concat_tables(out) if out else schema.empty_table()
 
-    return blocks.select("block", "payload").groupBy("block").cogroup(answers.select("block", "shard", "answer").groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.select("block", "payload").groupBy("block").cogroup(answers.withColumnRenamed("src", "block").groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

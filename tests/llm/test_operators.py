@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.llm.eliasfano import TrieLevel, mapped
 from sparkloom.llm import ann, avi, components, jaccard, lm, mixing, packing, quality, substr, toxic, warc
 
 from .conftest import SCHEMA, prose, row
@@ -52,8 +53,17 @@ def test_scores_equal_plain_counting(docs, order):
                     if j - k + 1 >= 0:
                         counts[tuple(x[j - k + 1 : j])][x[j]] += 1
     n, v = sum(counts[()].values()), len(counts[()])
-    got = {r["doc_id"]: r for r in lm.score(docs, order=order, shard_tokens=2000).collect()}
+    few = lm.score(docs, order=order, shard_tokens=2000)
+    got = {r["doc_id"]: r for r in few.collect()}
     assert got.keys() == tok.keys()
+    if order == 3:  # through several passes of messages, in small units
+        assert few.exceptAll(lm.score(docs, order=order, shard_tokens=2000, fan=3, unit=20_000)).count() == 0
+        known = {1: set(), 3: set()}
+        for r in lm.levels(docs, order=3, shard_tokens=2000).where("order <> 2").collect():
+            known[r["order"]].add(r["lane"])
+            level = TrieLevel(mapped(bytes(r["level"])))
+            assert len(level.values) == level.successors.n and (np.diff(level.contexts.all().astype(float)) >= 0).all()
+        assert known[1] and known[3]
     for i, w in tok.items():
         x, base, score = ["<s>", *w], 0.0, 0.0
         for j in range(1, len(x)):
