@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import labelled
+from . import labelled, shingles
 from .memory import trim
 
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -101,9 +101,11 @@ def score(docs: DataFrame, model, threshold: float, keep_columns: bool = False,
         def keep(batches):
             for b in batches:
                 if b.num_rows:
-                    t = b.column(b.schema.get_field_index("text")).to_pylist()
-                    yield b.filter(pa.array((scores_of(t, model) if model is not None else np.zeros(len(t))) >= threshold))
-                    del b, t
+                    s, text = np.zeros(b.num_rows), b.column(b.schema.get_field_index("text"))
+                    for at, texts in shingles.slices(text) if model is not None else ():
+                        s[at : at + len(texts)] = scores_of(texts.to_pylist(), model)
+                    yield b.filter(pa.array(s >= threshold))
+                    del b, text
                     trim()
 
         return docs.mapInArrow(keep, docs.schema)
@@ -111,7 +113,9 @@ def score(docs: DataFrame, model, threshold: float, keep_columns: bool = False,
     def run(batches):
         for b in batches:
             if b.num_rows:
-                s = scores_of(b.column(1).to_pylist(), model) if model is not None else np.zeros(b.num_rows)
+                s = np.zeros(b.num_rows)
+                for at, texts in shingles.slices(b.column(1)) if model is not None else ():
+                    s[at : at + len(texts)] = scores_of(texts.to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     flag = F.coalesce(labelled.fold("doc_id", parts) == held, F.lit(False)).alias("h")
@@ -123,7 +127,9 @@ def _measured(rows: DataFrame) -> np.ndarray:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "x"])
+            for at, texts in shingles.slices(b.column(1)):
+                x = [features(t) for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     kind = dict(rows.dtypes)["doc_id"]
     found = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").select("x").collect()
@@ -133,7 +139,7 @@ def _measured(rows: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, parts: int = 5, held: int = 0):
     """Learns from at most so many positive and unlabelled documents, none of the held-out fold. None if there are no positives."""
     pos = _measured(labelled.sample(docs, labels.where((labelled.fold("doc_id", parts) != held) & (F.col("quality") == 1)), positives))
-    unl = _measured(labelled.sample(docs, docs.where(labelled.fold("doc_id", parts) != held).select("doc_id"), unlabelled))
+    unl = _measured(labelled.sample(docs, docs.where(labelled.fold("doc_id", parts) != held), unlabelled, listed=False))
     return fit(pos, unl) if len(pos) and len(unl) else None
 
 
