@@ -134,16 +134,11 @@ def log10_of(code: np.ndarray) -> np.ndarray:
     return code * STEP - _SHIFT
 
 
-def _keys(rank: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
-    return words if bits == 64 else rank << U(bits) | words
-
-
 class TrieLevel:
     """Nodes (contexts) and their successors.
 
     contexts: hashes of contexts; pointers: where each context's successors begin;
-    successors: (rank of the context) * 2^bits + so many bits of the word's hash (64 where
-    there is but one context); values: quantised log10 of successors, and of the
+    successors: (rank of the context) * 2^bits + so many bits of the word's hash; values: quantised log10 of successors, and of the
     contexts' backoff weights.
     """
 
@@ -158,11 +153,11 @@ class TrieLevel:
     @staticmethod
     def build(contexts: np.ndarray, start: np.ndarray, words: np.ndarray, values: np.ndarray, backoffs: np.ndarray, bits: int = WORD_BITS) -> bytes:
         """contexts ascend; successors of context k are words[start[k]:start[k + 1]], ascending."""
-        if len(contexts).bit_length() - 1 + bits > 64 - (bits < 64):
+        if max(0, len(contexts) - 1).bit_length() + bits > 64:
             raise ValueError(f"{len(contexts)} contexts and {bits} bits of a word don't fit a key")
         rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(start))
-        key = _keys(rank, words, bits)
-        parts = [EliasFano.build(contexts, 1 << 64), EliasFano.build(start, len(words) + 1), EliasFano.build(key, max(1, len(contexts)) << bits)]
+        key = rank << U(bits) | words
+        parts = [EliasFano.build(contexts, int(contexts[-1]) + 1 if len(contexts) else 1), EliasFano.build(start, len(words) + 1), EliasFano.build(key, max(1, len(contexts)) << bits)]
         return b"".join([struct.pack("<Q", bits), *(p.tobytes() for p in parts), values.tobytes(), backoffs.tobytes()])
 
     @classmethod
@@ -180,6 +175,6 @@ class TrieLevel:
         lo, hi = self.pointers.get(r).astype(np.int64), self.pointers.get(r + 1).astype(np.int64)
         ask = np.flatnonzero(hit[which])
         k = which[ask]
-        p, found = self.successors.successor(_keys(r[k].astype(np.uint64), words[ask], self.bits), lo[k], hi[k])
+        p, found = self.successors.successor(r[k].astype(np.uint64) << U(self.bits) | words[ask], lo[k], hi[k])
         out[ask[found]] = self.values[p[found]]
         return out, np.where(hit, self.backoffs[r], 0).astype(np.uint16)

@@ -25,9 +25,9 @@ n-gram is one row of a block.
 
 Tokens: lower-cased (A-Z only) runs of other than ASCII white space, then one end
 token; null text is empty and has the end token only. Known are tokens with a
-training count. Words are 64-bit hashes; inside a shard a longer n-gram is 36 bits of
-its context's hash and 28 of the word's, so that of a shard's million contexts some 15
-share a name with another. Rows with a null id are scored but not learned from.
+training count. Words are 48-bit hashes; inside a shard a longer n-gram is some bits of
+its context's hash and of the word's (NAMES), so that of a shard's million contexts
+one in 4,000 shares a name with another. Rows with a null id are scored but not learned from.
 Repeated rows count as they stand; a very long text is a block of its own. An empty
 table gives no rows. Only doc_id and text are read.
 """
@@ -53,11 +53,20 @@ from .shingles import mixed
 END, BEGIN, ROOT = np.uint64(0x6E1D_0000_0000_0001), np.uint64(0xBE61_0000_0000_0001), np.uint64(0x0007_0000_0000_0001)
 BLOCK_BYTES = 6 << 20
 HOT = 256
-BITS = 28
+#: Bits of the context's and of the word's hash by order; higher orders are as the last.
+NAMES = {1: (0, 48), 2: (28, 24), 3: (32, 18)}
 UNIT = 16 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64((1 << BITS) - 1)
-_SHIFT = np.uint64(BITS)
+_HASH = ~np.uint64(0xFFFF)
+
+
+def _bits(k: int) -> tuple[int, int]:
+    return NAMES[min(k, max(NAMES))]
+
+
+def _halves(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high bytes apart, for the compressor."""
+    return (codes & 0xFF).astype(np.uint8), (codes >> 8).astype(np.uint8)
 
 
 def _packed(x) -> bytes:
@@ -76,13 +85,13 @@ def tokenised(docs: DataFrame, parts: int, held: int) -> DataFrame:
         for b in batches:
             for at, texts in shingles.slices(b.column(1), BLOCK_BYTES):
                 starts, codes, distinct = shingles.words(texts, lower=False)
-                h = shingles.hashes(distinct)
+                h = shingles.hashes(distinct) & _HASH
                 ids = b.column(0).slice(at, len(texts)).to_pylist()
                 out, learn = (np.array(b.column(c).slice(at, len(texts)).to_pylist(), bool) for c in (2, 3))
                 n = np.bincount(codes, np.repeat(learn, np.diff(starts)), minlength=len(h)).astype(np.int64)
                 tokens = int(n.sum() + learn.sum())
                 hot = np.flatnonzero(n * HOT > tokens)
-                payload = _packed((ids, out, learn, starts, codes.astype(np.int32), h))
+                payload = _packed((ids, out, learn, np.diff(starts), *_halves(codes & 0xFFFF), (codes >> 16).astype(np.uint16), np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 2:])))
                 yield pa.RecordBatch.from_pylist([{"block": f"{task}-{k}", "tokens": tokens, "hot": [{"h": int(x), "n": int(y)} for x, y in zip(h[hot].view(np.int64), n[hot], strict=True)], "payload": payload}], schema=pa.schema([("block", pa.string()), ("tokens", pa.int64()), ("hot", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))), ("payload", pa.binary())]))
                 k += 1
 
@@ -105,9 +114,13 @@ class Entries:
     def __init__(self, k: int, shard: np.ndarray, key: np.ndarray, split: np.ndarray, count: np.ndarray):
         self.k, self.shard, self.key, self.split, self.count = k, shard, key, split, count
 
+    def names(self) -> np.ndarray:
+        """The context of each entry."""
+        return self.key >> np.uint64(_bits(self.k)[1])
+
     def contexts(self) -> np.ndarray:
         """Where a new context begins."""
-        return _runs(self.key >> _SHIFT, self.shard)
+        return _runs(self.names(), self.shard)
 
     def cut(self, width: int, order: int):
         """(lane, the entries' positions) of each range of so many shards."""
@@ -118,7 +131,7 @@ class Entries:
     def message(self, part: slice, width: int) -> bytes:
         count = self.count[part]
         count = count.astype(np.uint8) if count.max(initial=0) < 256 else count.astype(np.uint32) if count.max() < 1 << 32 else count
-        keys = EliasFano.build(self.key[part], 1 << 64).tobytes() if width == 1 else _packed((self.shard[part].astype(np.uint32), self.key[part]))
+        keys = EliasFano.build(self.key[part], 1 << sum(_bits(self.k))).tobytes() if width == 1 else _packed((self.shard[part].astype(np.uint32), self.key[part]))
         return pickle.dumps((keys, _packed((np.packbits(self.split[part]), count))), 5)
 
     @classmethod
@@ -149,22 +162,29 @@ class Entries:
 def reply(e: Entries, code: np.ndarray, other: np.ndarray) -> bytes:
     """Value codes, and counts (order 1) or backoff codes of the contexts."""
     if e.k > 1:
-        return _packed((code, other[e.contexts()]))
-    return _packed((code, other.astype(np.uint32) if other.max(initial=0) < 1 << 32 else other))
+        return _packed((*_halves(code), *_halves(other[e.contexts()])))
+    return _packed((*_halves(code), other.astype(np.uint32) if other.max(initial=0) < 1 << 32 else other))
 
 
 def read_reply(e: Entries, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    code, other = _unpacked(data)
+    low, high, *other = _unpacked(data)
+    code = high.astype(np.uint16) << 8 | low
+    if e.k == 1:
+        return code, other[0]
     first = e.contexts()
-    return code, np.repeat(other, np.diff(np.append(first, len(e.key)))) if e.k > 1 else other
+    return code, np.repeat(other[1].astype(np.uint16) << 8 | other[0], np.diff(np.append(first, len(e.key))))
 
 
 class Block:
     """The distinct n-grams of a block's texts, by order; what they are only depends on the block."""
 
     def __init__(self, payload: bytes, order: int, hot: np.ndarray, shards: int):
-        self.ids, self.out, learn, starts, codes, h = _unpacked(payload)
-        m = len(self.ids)
+        self.ids, self.out, learn, n, low, high, top, tails = _unpacked(payload)
+        m, starts = len(self.ids), np.concatenate([[0], np.cumsum(n)])
+        codes = top.astype(np.int64) << 16 | high.astype(np.int64) << 8 | low
+        h = np.zeros((len(tails), 8), np.uint8)
+        h[:, 2:] = tails
+        h = h.view(np.uint64).reshape(-1)
         words = np.concatenate([h, [END]]).astype(np.uint64)
         self.n = np.diff(starts) + 1
         ends = np.cumsum(self.n)
@@ -188,7 +208,7 @@ class Block:
             place[o] = np.arange(len(o))
             self.levels.append((where, place[inverse], Entries(k, shard[o], key[o], split[o], count[o])))
 
-        level(1, np.arange(len(w)), w, words, words * _MUL + ROOT, np.ones(len(words), bool))
+        level(1, np.arange(len(w)), w, words >> np.uint64(16), words * _MUL + ROOT, np.ones(len(words), bool))
         # A context is a number below `size`, with its hash and whether all its words are hot.
         context, c_hash, c_hot = np.where(at > 0, np.roll(w, 1), len(words)), mixed(np.concatenate([words, [BEGIN]]) * _MUL), is_hot
         for k in range(2, order + 1):
@@ -196,7 +216,8 @@ class Block:
             gram, inverse = np.unique(context[where] * len(words) + w[where], return_inverse=True)
             ctx, word = gram // len(words), gram % len(words)
             split, whole = c_hot[ctx], words[word]
-            key = c_hash[ctx] & ~_LOW | whole & _LOW
+            of_context, of_word = _bits(k)
+            key = c_hash[ctx] >> np.uint64(64 - of_context) << np.uint64(of_word) | whole >> np.uint64(64 - of_word)
             level(k, where, inverse, key, np.where(split, mixed(c_hash[ctx] + whole), c_hash[ctx]), split)
             now = np.full(len(w), -1)
             now[where] = inverse
@@ -212,11 +233,13 @@ class Block:
 
 def build_level(e: Entries) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The trie level of a shard's entries with a training count; the contexts, which of them each entry has, and their c(h) and T(h)."""
+    bits = _bits(e.k)[1]
+    words = e.key & np.uint64((1 << bits) - 1)
     if e.k == 1:
-        contexts, rank, words, bits, split = np.array([ROOT]), np.zeros(len(e.key), np.int64), e.key, 64, np.array([True])
+        contexts, rank, split = np.array([0], np.uint64), np.zeros(len(e.key), np.int64), np.array([True])
     else:
         first = e.contexts()
-        contexts, words, bits, split = e.key[first] & ~_LOW, e.key & _LOW, BITS, e.split[first]
+        contexts, split = e.names()[first], e.split[first]
         rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(e.key))))
     seen = e.count > 0
     r, count = rank[seen], e.count[seen].astype(float)
@@ -231,7 +254,7 @@ def build_level(e: Entries) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray,
 def _answered(e: Entries) -> tuple[np.ndarray, np.ndarray, int, int, list[dict]]:
     """Of a shard's entries: value codes, counts or backoff codes, tokens and words (order 1), sums of split contexts."""
     data, contexts, rank, c, t = build_level(e)
-    code, backoff = TrieLevel(mapped(data)).find(contexts, rank, e.key if e.k == 1 else e.key & _LOW)
+    code, backoff = TrieLevel(mapped(data)).find(contexts, rank, e.key & np.uint64((1 << _bits(e.k)[1]) - 1))
     if e.k == 1:
         return code, e.count, int(c[0]), int(t[0]), []
     s = np.flatnonzero(e.split[e.contexts()])
@@ -373,7 +396,7 @@ def score(docs: DataFrame, order: int = 3, parts: int = 7, held: int = 2, shard_
                 weight = np.where(other > 0, 10.0 ** log10_of(other.astype(float)), 1.0)
                 s, (names, c, t) = np.flatnonzero(e.split), split[e.k]
                 if len(s) and len(names):
-                    name = e.key[s] & ~_LOW
+                    name = e.names()[s]
                     j = np.minimum(np.searchsorted(names, name), len(names) - 1)
                     ok, whole = (names[j] == name) & (t[j] > 0), c[j] + t[j]
                     direct[s] = np.where(ok, direct[s] / np.maximum(whole, 1), 0.0)
