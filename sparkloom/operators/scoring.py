@@ -37,7 +37,8 @@ def select_top(scored: DataFrame, n: int = 100, most_flagged: float = 0.10, uniq
         twice = scored.groupBy("candidate_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
         if twice:
             raise SelectionError(f"id {twice[0][0]} occurs more than once")
-    top = scored.withColumn("score", F.round("final_score", 6)).orderBy(F.desc("score"), "candidate_id").limit(n)
+    # The n rows are kept, so that the counts and what is made of the rows don't score everything again.
+    top = scored.withColumn("score", F.round("final_score", 6)).orderBy(F.desc("score"), "candidate_id").limit(n).cache()
     found, flagged = top.agg(F.count("*"), F.coalesce(F.sum(F.col("is_honeypot").cast("int")), F.lit(0))).first()
     if found < n:
         raise SelectionError(f"{found} rows for {n} places")
@@ -46,9 +47,9 @@ def select_top(scored: DataFrame, n: int = 100, most_flagged: float = 0.10, uniq
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "candidate_id")))
 
 
-def violations(rows: DataFrame, n: int) -> DataFrame:
-    """(error) for each broken rule of ranks 1 to n, unique ids, scores that don't rise, and ties by id."""
-    w = Window.orderBy("rank")
+def violations(rows: DataFrame, n: int, place: str | None = None) -> DataFrame:
+    """(error) for each broken rule of ranks 1 to n, unique ids, scores that don't rise, and ties by id. Rows stand in the order of `place`, else of their ranks; a selection is n rows, few enough for one task."""
+    w = Window.orderBy(place or "rank")
     x = rows.withColumns({"place": F.row_number().over(w), "before": F.lag("score").over(w), "id_before": F.lag("candidate_id").over(w), "same": F.count("*").over(Window.partitionBy("candidate_id")), "all": F.count("*").over(Window.partitionBy())})
     rules = [
         ((F.col("place") == 1) & (F.col("all") != n), F.concat(F.lit(f"expected {n} rows, found "), F.col("all"))),

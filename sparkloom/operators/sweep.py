@@ -28,6 +28,11 @@ def weight_grid(spark: SparkSession, ce: list[float] = CE_LEVELS, role: list[flo
     return x.select(name.alias("config"), *[f"w_{f}" for f in WEIGHTS])
 
 
+def default_weights(spark: SparkSession) -> DataFrame:
+    """The grid of one row that holds the default weights."""
+    return spark.range(1).select(F.lit("default").alias("config"), *[F.lit(w).alias(f"w_{f}") for f, w in WEIGHTS.items()])
+
+
 def rescored() -> Column:
     """Final score from cached features under the weights in w_<feature>."""
     top = low = F.lit(0.0)

@@ -81,11 +81,11 @@ bm as (select t.doc_id, coalesce(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25
 """
 
 
-@query(f"with {BM25} select term, df::bigint as df, round(idf, 6) as idf from idf where df >= 20")
+@query(f"with {BM25} select term, df::bigint as df, round(idf, 6) as idf from idf")
 def bm25_idf(spark, sf_dir):
     docs = D.table(spark, sf_dir, "documents")
     x = retrieval.bm25_idf(retrieval.term_counts(docs, "doc_id", "text"), docs.count())
-    return x.where("df >= 20").select("term", "df", F.round("idf", 6).alias("idf"))
+    return x.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {BM25} select doc_id, round(bm25, 6) as bm25 from bm")
@@ -249,12 +249,14 @@ def recency_months(spark, sf_dir):
 
 # ---------------------------------------------------------------- scores
 
-_w = {f: w for f, w in WEIGHTS.items() if f not in ("ce_score", "semantic_sim")}
-_mean = lambda extra: f"(({' + '.join(f'{w} * {f}' for f, w in _w.items())} + 0.1 * sem + coalesce(0.1 * ce, 0)) / ({sum(_w.values())} + 0.1 + case when ce is null then 0 else 0.1 end){extra})"
+_names = {"semantic_sim": "sem", "ce_score": "ce"}
+#: Sums in the order of WEIGHTS, so that equal records have equal floats on both sides.
+_mean = lambda w, extra="": "((" + " + ".join(f"coalesce({_names.get(f, f)} * {w(f)}, 0)" for f in WEIGHTS) + ") / (" + " + ".join(f"case when {_names.get(f, f)} is null then 0 else {w(f)} end" for f in WEIGHTS) + f"){extra})"
+_default = lambda f: f"{WEIGHTS[f]!r}::double"
 SCORED = f"""
 {RECORDS}, {BEHAVIOUR},
 cand as (select w.*, mult, greatest(0, least(1, w.c_custkey % 13 / 12.0)) as sem, case when w.c_custkey % 3 = 0 then 1 / (1 + exp(-(w.c_custkey % 9 - 4.0))) end as ce from why w join beh using (c_custkey)),
-scored as (select *, {_mean("")} as base, case when len(reasons) > 0 then -1.0 else {_mean(" * mult")} end as final from cand)
+scored as (select *, {_mean(_default)} as base, case when len(reasons) > 0 then -1.0 else {_mean(_default, " * mult")} end as final from cand)
 """
 
 
@@ -264,9 +266,10 @@ def scored(spark, sf_dir):
     return scoring.with_scores(x)
 
 
-@query(f"with {SCORED} select c_custkey, round(base, 6) as base_score, round(final, 6) as final_score from scored")
+@query(f"with {SCORED} select c_custkey, round(base + 1e-10, 6) as base_score, round(final + 1e-10, 6) as final_score from scored")
 def combine_and_floor(spark, sf_dir):
-    return scored(spark, sf_dir).select("c_custkey", F.round("base_score", 6).alias("base_score"), F.round("final_score", 6).alias("final_score"))
+    """Some scores lie half-way between two six-digit numbers, give or take the last bit: these go up."""
+    return scored(spark, sf_dir).select("c_custkey", *[F.round(F.col(c) + 1e-10, 6).alias(c) for c in ("base_score", "final_score")])
 
 
 @query(f"with {SCORED} select candidate_id, row_number() over (order by round(final, 6) desc, candidate_id)::int as rank, round(final, 6) as score from scored order by rank limit 50")
@@ -282,12 +285,18 @@ def guardrail_rate(spark, sf_dir):
     return top.agg(F.count("*").alias("n"), F.sum(F.col("is_honeypot").cast("int")).alias("flagged"), F.round(F.avg(F.col("is_honeypot").cast("int")), 6).alias("rate"))
 
 
-@query("""with r as (select doc_id as candidate_id, row_number() over (order by doc_id) as rank, round((doc_id % 7)::double, 6) as score from labels order by doc_id limit 30),
-w as (select *, lag(score) over (order by rank) as b from r) select 'score rises at rank ' || rank as error from w where score > b""")
+@query("""with p as (select *, row_number() over (order by doc_id) as place, count(*) over () as n from labels),
+r as (select place, n, case when place % 50 = 49 then doc_id + 1 else doc_id end as id, case when place % 60 = 59 then place + 7 else place end as rank, case when place % 40 = 39 then null when place % 30 < 2 then 3.0 else (doc_id % 7)::double end as score from p),
+w as (select *, lag(score) over (order by place) as b, lag(id) over (order by place) as ib, count(*) over (partition by id) as same from r)
+select 'expected 9 rows, found ' || n as error from w where place = 1 and n <> 9 union all select 'rank ' || rank || ' at place ' || place from w where rank <> place
+union all select 'repeated id ' || id from w where same > 1 union all select 'score of ' || id || ' is no number' from w where score is null
+union all select 'score rises at rank ' || rank from w where score > b union all select 'tie out of order at rank ' || rank from w where score = b and id < ib""")
 def invariant_violations(spark, sf_dir):
-    x = D.table(spark, sf_dir, "labels").orderBy("doc_id").limit(30)
-    x = x.select(F.col("doc_id").alias("candidate_id"), F.row_number().over(Window.orderBy("doc_id")).alias("rank"), F.round((F.col("doc_id") % 7).cast("double"), 6).alias("score"))
-    return scoring.violations(x, 30)
+    """A ranking of all labelled documents with every fault there is."""
+    x = D.table(spark, sf_dir, "labels").withColumn("place", F.row_number().over(Window.orderBy("doc_id")))
+    at = F.col("place")
+    x = x.select(at, F.when(at % 50 == 49, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("candidate_id"), F.when(at % 60 == 59, at + 7).otherwise(at).alias("rank"), F.when(at % 40 == 39, None).when(at % 30 < 2, 3.0).otherwise((F.col("doc_id") % 7).cast("double")).alias("score"))
+    return scoring.violations(x, 9, place="place")
 
 
 def _clause(gap: bool) -> str:
@@ -468,22 +477,17 @@ def _cache(spark, sf_dir):
     return scored(spark, sf_dir).select("candidate_id", "c_custkey", *WEIGHTS, "is_honeypot", "behavioral_mult", "final_score")
 
 
-_others = " + ".join(f"{WEIGHTS[f] / _small} * {f}" for f in sweep.OTHERS)
+_grid = lambda f: {"ce_score": "wce", "role_substance": "wrole", "semantic_sim": "wsem"}.get(f) or f"(rest * {WEIGHTS[f] / _small!r}::double)"
 SWEEP = f"""
 {SCORED}, {GRID},
-re as (select config, candidate_id, case when len(reasons) > 0 then -1.0 else (rest * ({_others}) + wrole * role_substance + wsem * sem + coalesce(wce * ce, 0)) / (1 - case when ce is null then wce else 0 end) * mult end as f from scored, grid where c_custkey < 300),
+re as (select config, candidate_id, case when len(reasons) > 0 then -1.0 else {_mean(_grid, " * mult")} end as f from scored, grid),
 rr as (select *, row_number() over (partition by config order by round(f, 12) desc, candidate_id) as rank from re)
 """
 
 
 @query(f"with {SWEEP} select config, candidate_id, rank::int as rank from rr where rank <= 20")
 def sweep_rerank(spark, sf_dir):
-    """Of the customers that its SQL takes; sweep_rerank_all has the whole table."""
-    return sweep.reranked(_cache(spark, sf_dir).where("c_custkey < 300"), sweep.weight_grid(spark)).where("rank <= 20").select("config", "candidate_id", "rank")
-
-
-@query()
-def sweep_rerank_all(spark, sf_dir):
+    """Every record under every setting; reported are each setting's best twenty."""
     return sweep.reranked(_cache(spark, sf_dir), sweep.weight_grid(spark)).where("rank <= 20").select("config", "candidate_id", "rank")
 
 
@@ -494,12 +498,12 @@ def sweep_best(spark, sf_dir):
     return sweep.run_sweep(_cache(spark, sf_dir), g)
 
 
-@query("select null::varchar as candidate_id, null::int as rank where false")
+@query(f"with {SCORED}, r as (select candidate_id, row_number() over (order by round(final, 12) desc, candidate_id)::int as rank from scored) select candidate_id, rank, rank as scorer_rank from r")
 def faithfulness(spark, sf_dir):
-    """Re-ranking with the default weights gives the scorer's own order: no row differs."""
+    """Each record's place after re-ranking with the default weights, and the scorer's own; the SQL has the one order that both must be."""
     c = _cache(spark, sf_dir)
-    one = spark.range(1).select(F.lit("default").alias("config"), *[F.lit(w).alias(f"w_{f}") for f, w in WEIGHTS.items()])
-    return sweep.unfaithful(sweep.reranked(c, one), retrieval.ranked(c, "final_score", "candidate_id"))
+    mine = sweep.reranked(c, sweep.default_weights(spark)).select("candidate_id", "rank")
+    return mine.join(retrieval.ranked(c, "final_score", "candidate_id").withColumnRenamed("rank", "scorer_rank"), "candidate_id", "full")
 
 
 @query()
