@@ -28,7 +28,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     now = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(most):
-        now = scratch.written(_small_star(_large_star(now)), "stars")
+        last, now = now, scratch.written(_small_star(_large_star(now)), "stars")
+        scratch.dropped(last)
         # Stars stay as they are; the sums tell when nothing has moved.
         told = now.agg(F.count("*"), F.coalesce(F.sum(F.col("b") % 1_000_003), F.lit(0)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
         if told == mark:

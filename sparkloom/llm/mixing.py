@@ -10,8 +10,11 @@ and that schedule repeats; the bound then holds against the rounded weights alon
 
 When a source has no blocks left, a new phase starts with the weights of the others,
 scaled up; no row is dropped or repeated. The schedule depends on the number of
-blocks of each source alone. It is worked out on the driver, a number for each block
-(of `block_docs` rows); all that touches rows is DataFrame functions.
+blocks of each source alone. It is worked out on the driver and broadcast, a number for
+each block. A block is `block_docs` rows, or as many more as keep the blocks of all
+sources within `most_blocks` (and one more for each source), so that neither grows with
+the rows. Phases cost the driver the square of the number of sources at worst: thousands
+are fine. All that touches rows is DataFrame functions.
 
 A null source is a source of its own. Without weights, a source's weight is the
 square root of its number of documents; a source that `weights` leaves out, or gives
@@ -125,12 +128,13 @@ def pieces(plan: list[dict]) -> list[dict]:
     return out
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 64, period: int | None = None) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 64, period: int | None = None, most_blocks: int = 1 << 20) -> DataFrame:
     """The input's rows with block (of their source, from 1), slot (of the block in the mix, from 0) and place (in the block, from 0)."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in OUT])
     x = docs.withColumn("__h", F.xxhash64("doc_id")).withColumn("__bucket", F.pmod("__h", F.lit(BUCKETS)).cast("int")).withColumn("__source", F.to_json(F.struct("source")))
     counts = x.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
     sizes = sorted((r[0], r[1], r[2]) for r in counts.groupBy("__source").agg(F.sum("__n")).select("__source", F.get_json_object("__source", "$.source"), "sum(__n)").collect())
+    block_docs = max(block_docs, -(-sum(n for *_, n in sizes) // most_blocks))
     given = [float(n) ** 0.5 if weights is None else max(0.0, weights.get(s, 0.0)) for _, s, n in sizes]
     plan = pieces(phases([-(-n // block_docs) for *_, n in sizes], given, period))
     plan_rows = docs.sparkSession.createDataFrame([(sizes[p["k"]][0], p["lo"], p["hi"], p["start"], p["period"], p["slots"]) for p in plan], "__source string, lo long, hi long, start long, period long, slots array<long>")
@@ -140,7 +144,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_doc
     x = x.withColumn("__i", F.row_number().over(inside)).join(before, ["__source", "__bucket"])
     x = x.withColumn("__i", F.col("__i") + F.col("__before") - 1)
     x = x.withColumn("block", F.floor(F.col("__i") / block_docs) + 1).withColumn("place", (F.col("__i") % block_docs).cast("int"))
-    # A row for each source and phase, at most the square of the number of sources, and one more for each PIECE blocks.
+    # A row for each source and phase in which it has a block, and one more for each PIECE blocks; a number for each block.
     x = x.alias("x").join(F.broadcast(plan_rows).alias("p"), (F.col("x.__source") == F.col("p.__source")) & (F.col("block") > F.col("lo")) & (F.col("block") <= F.col("hi")))
     nth = F.col("block") - F.col("lo") - 1
     slot = F.col("start") + F.floor(nth / F.size("slots")) * F.col("period") + F.get(F.col("slots"), F.pmod(nth, F.size("slots")).cast("int"))

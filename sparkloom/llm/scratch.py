@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset (tests on one machine)."""
+    """spark.checkpoint.dir as the session has it. Only on one machine, as in tests, a folder of our own stands in for it."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
-    at = f"file://{tempfile.gettempdir()}/sparkloom-checkpoints"
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/sparkloom-checkpoints"
 
 
 def joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -45,7 +45,24 @@ def salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, by: list
 def written(df: DataFrame, name: str, big: bool = False) -> DataFrame:
     """The rows, written to the shared folder as Parquet and read again: lineage ends here, and lost executors lose nothing. big: rows of megabytes, whose size the writer checks row by row."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/sparkloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     check = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"} if big else {}
     df.write.options(**check).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table of `written` that nothing reads any more."""
+    _delete(table.sparkSession, table._written)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written; results that are still to be read need them."""
+    _delete(spark, f"{folder(spark)}/sparkloom-{spark.sparkContext.applicationId}")

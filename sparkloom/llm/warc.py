@@ -12,7 +12,8 @@ Records with equal payloads of at least `least` bytes are stored once: the one w
 the largest identifier is the response and the others are revisits that refer to it
 (several rows with that same largest identifier are all responses). Null payloads
 count as empty ones and null identifiers are kept as such; smaller payloads are
-always responses. Only the columns named are read, so further ones can't clash.
+always responses. A very long payload is a frame and a bundle of its own. An empty
+table gives no bundles. Only the columns named are read, so further ones can't clash.
 """
 
 from __future__ import annotations
@@ -115,11 +116,14 @@ class BundleReader:
 
 
 def revisits(pages: DataFrame, ident: str, payload: str, least: int) -> DataFrame:
-    """ident, digest, and refers_to (null for responses), with url and payload."""
+    """The rows with refers_to (null for responses). Payloads that are too short for a revisit don't move; those of repeated ones are dealt over many tasks."""
     x = pages.withColumn("__key", F.when(F.octet_length(payload) >= least, F.sha2(F.encode(payload, "UTF-8"), 256)))
-    first = x.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.max(ident).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    refers = F.when(F.col(ident).eqNullSafe(F.col("__first")), None).otherwise(F.col("__first"))
-    return x.join(first, "__key", "left").withColumn("__refers_to", refers).drop("__key", "__first")
+    long, none = x.where(F.col("__key").isNotNull()), F.lit(None).cast("long").alias("__refers_to")
+    first = scratch.written(long.groupBy("__key").agg(F.max(ident).alias("__first"), F.count("*").alias("__n")).where("__n > 1"), "warc-repeats")
+    hot = first.where("__n > 1000").orderBy(F.desc("__n"), "__key").limit(1000).select("__key")
+    refers = F.when(~F.col(ident).eqNullSafe(F.col("__first")), F.col("__first")).alias("__refers_to")
+    long = scratch.salted(long, first.drop("__n"), "__key", hot, [ident], "left")
+    return long.select(*pages.columns, refers).unionByName(x.where(F.col("__key").isNull()).select(*pages.columns, none))
 
 
 def bundles(pages: DataFrame, ident: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:

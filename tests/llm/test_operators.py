@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -236,6 +237,33 @@ def test_mixing_holds_the_given_weights(spark, weights):
         assert (np.abs(np.searchsorted(s, t) - w / total * t) < 1).all()
 
 
+def test_schedule_equals_a_slot_by_slot_simulation():
+    rng = random.Random(41)
+    for _ in range(30):
+        n = rng.randrange(1, 6)
+        blocks, weights = [rng.randrange(1, 40) for _ in range(n)], [rng.choice([0.1, 0.3, 1.0, 2.5, 7.0]) for _ in range(n)]
+        got = {}
+        for p in mixing.phases(blocks, weights):
+            got |= {p["start"] + p["slots"][i]: p["k"] for i in range(p["hi"] - p["lo"])}
+        left, t, want = list(blocks), 0, {}
+        while any(left):
+            active = [k for k in range(n) if left[k]]
+            w = {k: Fraction(weights[k]) / sum(Fraction(weights[j]) for j in active) for k in active}
+            had, begin = dict.fromkeys(active, 0), t
+            while all(left[k] for k in active):
+                free = [k for k in active if math.floor(had[k] / w[k]) <= t - begin]
+                k = min(free, key=lambda k: (math.ceil((had[k] + 1) / w[k]), k))
+                want[t], left[k], had[k], t = k, left[k] - 1, had[k] + 1, t + 1
+                assert all(abs(had[j] - w[j] * (t - begin)) < 1 for j in active)
+        assert got == want
+
+
+def test_number_of_blocks_is_bounded(docs):
+    got = mixing.schedule(docs, block_docs=1, most_blocks=10)
+    sources = docs.select("source").distinct().count()
+    assert got.select("slot").distinct().count() <= 10 + sources and got.count() == docs.count()
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -280,6 +308,7 @@ def test_recall(spark):
 def test_packing(docs, odd, none, odd_rows):
     for d in (docs, odd):
         rows = packing.pack(d, capacity=2000, shard_items=50).collect()
+        texts = {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect() if r["doc_id"] != 7}
         bins = collections.defaultdict(list)
         for r in rows:
             bins[r["bin_id"]].append(r)
@@ -287,6 +316,8 @@ def test_packing(docs, odd, none, odd_rows):
             assert sum(r["length"] for r in b) <= 2000
             s = [r["source"] for r in b if r["source"] is not None]
             assert len(s) == len(set(s))
+            c = [texts[r["doc_id"]] for r in b if r["start"] == 0 and texts.get(r["doc_id"])]
+            assert len(c) == len(set(c))  # equal texts are a cluster
             at = sorted((r["bin_offset"], r["length"]) for r in b)
             assert all(x[0] + x[1] <= y[0] for x, y in zip(at, at[1:], strict=False))
         assert sum(r["length"] for r in rows) == d.agg(F.sum(F.length("text"))).first()[0]

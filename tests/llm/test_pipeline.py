@@ -1,7 +1,9 @@
 """The stages one after another, on the smallest tables and on odd ones."""
 
+import collections
+
 import corpus_pipeline as cp
-from sparkloom.llm import scratch
+from sparkloom.llm import quality, scratch
 
 
 def test_stages(spark, sf_dir):
@@ -23,3 +25,56 @@ def test_odd_tables(spark, sf_dir, odd, none):
             docs = scratch.written(stage(spark, docs, sf_dir), name)
             if name != cp.STAGES[-1][0]:
                 assert docs.columns == d.columns
+
+
+def test_stages_against_brute_force(spark, sf_dir):
+    """Every stage on its own input, row by row: 200 documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = lambda d: [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()]
+    docs = scratch.written(spark.read.parquet(f"{sf_dir}/documents.parquet"), "given")
+    stages = dict(cp.STAGES)
+
+    model = quality.train(docs, labels)
+    kept = scratch.written(stages["quality"](spark, docs, sf_dir), "kept")
+    assert sorted(rows(kept)) == sorted(r for r in rows(docs) if quality.scores_of([r[1]], model)[0] >= 0.3)
+
+    words = {r: r[1].lower().split() for r in sorted(rows(kept))}
+    sets = {r: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for r, w in words.items()}
+    root = {r: r for r in sets}
+
+    def find(r):
+        while root[r] != r:
+            r = root[r]
+        return r
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    alone = scratch.written(stages["near_duplicates"](spark, kept, sf_dir), "alone")
+    assert sorted(rows(alone)) == sorted({find(r) for r in sets})
+
+    cut = scratch.written(stages["repeated_passages"](spark, alone, sf_dir), "cut")
+    before, after = dict(rows(alone)), dict(rows(cut))
+    grams = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)}
+    holders = collections.Counter(g for t in before.values() for g in grams(t))
+    for i, t in before.items():
+        now = iter(t.split())
+        assert all(w in now for w in after.get(i, "").split())  # words only go, none is added or moved
+        gone = grams(t) - grams(after.get(i, ""))
+        assert not gone or sum(holders[g] > 1 for g in gone) >= 0.5 * len(gone)  # the rest lies across a cut or an edit
+    for i, w in ((i, t.lower().split()) for i, t in after.items()):
+        for k in range(len(w) - 50):  # of 51 equal words at most one text keeps them
+            passage = " ".join(w[k : k + 51])
+            if holders[tuple(w[k : k + 5])] > 1 and holders[tuple(w[k + 46 : k + 51])] > 1:
+                assert sum(passage in " ".join(t.lower().split()) for t in after.values()) == 1, i
+
+    mixed = scratch.written(stages["mixing"](spark, cut, sf_dir), "mixed")
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, cut.collect()))
+    pieces = collections.defaultdict(list)
+    for r in stages["packing"](spark, mixed, sf_dir).collect():
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+    for i, t in rows(mixed):
+        p = sorted(pieces[i])
+        assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:], strict=False)) and sum(n for _, n in p) == len(t or "")
