@@ -61,14 +61,14 @@ def training_set(cache: DataFrame, parts: DataFrame, anchors: DataFrame, ident:
 
 
 def train_pointwise(rows: DataFrame, rounds: int = 50, depth: int = 4):
-    """A fitted pipeline model; apply it with `transform`."""
+    """A fitted pipeline model; apply it with `transform`. A missing feature is -1, below all that are there, so that the trees can tell it."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     cols = list(WEIGHTS)
     x = rows.select("grade", *[F.col(c).cast("double").alias(c) for c in cols])
-    return Pipeline(stages=[Imputer(inputCols=cols, outputCols=[f"{c}_" for c in cols], strategy="mean"), VectorAssembler(inputCols=[f"{c}_" for c in cols], outputCol="features"), GBTRegressor(labelCol="grade", maxIter=rounds, maxDepth=depth, seed=42)]).fit(x)
+    return Pipeline(stages=[SQLTransformer(statement="SELECT *, " + ", ".join(f"coalesce(cast({c} AS double), -1.0D) AS {c}_" for c in cols) + " FROM __THIS__"), VectorAssembler(inputCols=[f"{c}_" for c in cols], outputCol="features"), GBTRegressor(labelCol="grade", maxIter=rounds, maxDepth=depth, seed=42)]).fit(x)
 
 
 def adopt(model_val: float, baseline_val: float, least_gain: float = 0.0) -> bool:

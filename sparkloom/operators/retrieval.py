@@ -11,6 +11,10 @@ from pyspark.sql.window import Window
 from ..functions.scalars import sigmoid, tokens
 
 
+#: Fixed value: pairs that a reranker gets at once.
+PAIRS_A_BATCH = 32
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision, in order; null if the lengths differ."""
     both = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -95,6 +99,22 @@ def reranked_head(head: DataFrame, logits: DataFrame | None, ident: str = "candi
     return head.join(logits.select(ident, sigmoid(F.col("logit")).alias("ce_score")), ident, "left")
 
 
+def reranked(head: DataFrame, query: str, reranker: Callable, ident: str = "candidate_id", text: str = "text") -> DataFrame:
+    """(ident, logit) by a reranker: a function from a list of (query, text) pairs to scores, called with PAIRS_A_BATCH pairs at most. The head is the side of bounded size; it is dealt over tasks."""
+    import numpy as np
+    import pandas as pd
+
+    def run(frames):
+        for p in frames:
+            pairs = [(query, t or "") for t in p[text]]
+            parts = [np.asarray(reranker(pairs[a : a + PAIRS_A_BATCH]), dtype=float).reshape(-1) for a in range(0, len(pairs), PAIRS_A_BATCH)]
+            if parts:
+                yield pd.DataFrame({ident: p[ident], "logit": np.concatenate(parts)})
+
+    kind = dict(head.dtypes)[ident]
+    return head.select(ident, text).repartition(ident).mapInPandas(run, f"`{ident}` {kind}, logit double")
+
+
 def rerank_all(rows: DataFrame, logits: DataFrame, ident: str = "candidate_id") -> DataFrame:
     """Every row with a logit: those that were not scored come a step below the least score (0 if none was)."""
     least = logits.agg(F.coalesce(F.min("logit") - 1.0, F.lit(0.0)).alias("__tail"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.profile import RankProfile, load_profile
 from ..operators import behaviour, consistency, features, reasoning, retrieval, scoring, text
 from ..sources.records import SIGNALS_KEY, read_records
+from . import artifacts
 
 
 def prepared(records: DataFrame, p: RankProfile) -> DataFrame:
@@ -47,20 +48,30 @@ def score(records: DataFrame, found: DataFrame, p: RankProfile, logits: DataFram
     return x
 
 
+def rerank_logits(records: DataFrame, found: DataFrame, p: RankProfile, reranker: Callable | None, head: int = 200) -> DataFrame | None:
+    """(candidate_id, logit) of the first `head` of the shortlist against the whole profile text; None without a reranker, whose weight then drops out."""
+    if reranker is None:
+        return None
+    first = retrieval.shortlist(found, "rrf_score", "candidate_id", head).select("candidate_id")
+    rows = records.join(F.broadcast(first), "candidate_id").select("candidate_id", text.rich_text().alias("text"))
+    return retrieval.reranked(rows, p.whole_text(), reranker)
+
+
 def submission(scored: DataFrame, n: int = 100) -> DataFrame:
     """candidate_id, rank, score, reasoning of the best n."""
     top = scoring.select_top(scored, n)
     return top.select("candidate_id", "rank", "score", reasoning.reasoning(F.col("profile.current_title"), F.col("profile.years_of_experience")).alias("reasoning"))
 
 
-def produce(spark: SparkSession, records_path: str, vectors: DataFrame, profile_path: str, out: str, encode: Callable[[list[str]], list], n: int = 100, logits: DataFrame | None = None, signals_key: str = SIGNALS_KEY) -> list[str]:
-    """Reads, ranks, writes the CSV and checks it; the faults found, none for a good file."""
+def produce(spark: SparkSession, records_path: str, vectors: DataFrame, profile_path: str, out: str, encode: Callable[[list[str]], list], n: int = 100, logits: DataFrame | None = None, signals_key: str = SIGNALS_KEY, reranker: Callable | None = None, query_prefix: str = "") -> list[str]:
+    """Reads, checks that records and vectors belong together, ranks, writes the CSV and checks it; the faults found, none for a good file."""
     p = load_profile(profile_path)
     records = read_records(spark, records_path, signals_key=signals_key)
-    ordered = p.ordered_aspects()
-    q = [[float(v) for v in e] for e in encode([a.query_text for _, a in ordered])]
-    aspects = spark.createDataFrame(list(zip([a for a, _ in ordered], q, strict=True)), "query string, q array<double>")
-    scored = score(records, retrieve(records, vectors, aspects, p), p, logits)
+    q = artifacts.encode_queries(p, encode, query_prefix)
+    artifacts.check(records, vectors, len(q[0][1]) if q else None)
+    aspects = spark.createDataFrame(q, "query string, q array<double>")
+    found = retrieve(records, vectors, aspects, p)
+    scored = score(records, found, p, rerank_logits(records, found, p, reranker) if logits is None else logits)
     scoring.write_submission(submission(scored, n), out)
     return scoring.validate_submission(out, n)
 
