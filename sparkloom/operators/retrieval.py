@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -61,19 +62,31 @@ def bm25_idf(counts: DataFrame, n_docs: int, epsilon: float = 0.25) -> DataFrame
     return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, query_terms: list[str], ident: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(ident, bm25) for every row; repeated query terms count again. No rows without query terms or documents."""
-    spark = docs.sparkSession
-    sizes = docs.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("*"), F.avg("n")).first()
-    n, avg = sizes[0], float(sizes[1] or 0)
-    if not query_terms or not n or not avg:
+def bm25(docs: DataFrame, query_terms: list[str], ident: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, only: DataFrame | None = None) -> DataFrame:
+    """(ident, bm25) for every row, or for those whose ident is in `only`; repeated query terms count again. No rows without query terms or documents.
+
+    Query terms are counted where the rows lie: one pass for the sizes and the terms'
+    document frequencies, one projection for the scores. The vocabulary is counted only
+    if a query term is so frequent that its idf falls back on the mean over all terms.
+    """
+    spark, terms = docs.sparkSession, sorted(set(query_terms))
+    t = docs.select(ident, tokens(F.col(text)).alias("t"))
+    hits = lambda x: x.select(ident, F.size("t").alias("length"), F.filter("t", lambda v: v.isin(terms)).alias("hit"))
+    has = [F.sum(F.array_contains("hit", q).cast("long")) for q in terms]
+    n, avg, *df = hits(t).agg(F.count("*"), F.avg("length"), *has).first() if terms else (0, 0.0)
+    if not terms or not n or not avg:
         return spark.createDataFrame([], docs.select(ident).schema.add("bm25", "double"))
-    counts = term_counts(docs, ident, text)
-    terms = spark.createDataFrame([(t, query_terms.count(t)) for t in sorted(set(query_terms))], "term string, times long")
-    idf = bm25_idf(counts, n, epsilon).join(F.broadcast(terms), "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / avg))
-    found = counts.join(F.broadcast(idf), "term").groupBy(ident).agg(F.sum(part).alias("bm25"))
-    return docs.select(ident).join(found, ident, "left").select(ident, F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    idf = {q: math.log(n - d + 0.5) - math.log(d + 0.5) for q, d in zip(terms, df, strict=True) if d}
+    if min(idf.values(), default=0.0) < 0:
+        every = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        mean = every.agg(F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
+        idf = {q: v if v >= 0 else epsilon * mean for q, v in idf.items()}
+    score = F.lit(0.0)
+    for q, v in idf.items():
+        tf = F.size("hit") - F.size(F.array_remove("hit", q))
+        score = score + query_terms.count(q) * v * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / float(avg)))
+    wanted = t if only is None else t.join(only.select(ident), ident, "left_semi")
+    return hits(wanted).select(ident, score.alias("bm25"))
 
 
 def ranked(scores: DataFrame, score: str, ident: str, digits: int = 12) -> DataFrame:

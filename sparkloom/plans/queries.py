@@ -104,7 +104,7 @@ fused as (select id, coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + s.r
 def _fused(spark, sf_dir):
     sem = retrieval.ranked(_blend(spark, sf_dir), "semantic", "vec_id").select(F.col("vec_id").alias("id"), "rank")
     docs = D.table(spark, sf_dir, "documents")
-    lex = retrieval.bm25(docs, D.TERMS).withColumnRenamed("doc_id", "id").join(sem.select("id"), "id", "left_semi")
+    lex = retrieval.bm25(docs, D.TERMS, only=sem.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id")
     lists = sem.withColumn("list", F.lit("semantic")).unionByName(retrieval.ranked(lex, "bm25", "id").withColumn("list", F.lit("lexical")))
     return retrieval.rrf(lists)
 
@@ -511,7 +511,7 @@ def hybrid_top100(spark, sf_dir):
     """The whole way: vectors, BM25 over the semantic pool, fusion, scores, the best hundred, with reasons."""
     docs, vec = D.table(spark, sf_dir, "documents"), D.table(spark, sf_dir, "embeddings")
     hits = retrieval.vector_topk(vec, aspect_vectors(spark, sf_dir), 800)
-    pool = retrieval.aspect_blend(hits, D.ASPECTS).select(F.col("vec_id").alias("doc_id"), "semantic").join(docs, "doc_id")
+    pool = retrieval.aspect_blend(hits, D.ASPECTS).select(F.col("vec_id").alias("doc_id"), "semantic").join(docs, "doc_id").cache()  # 800 rows an aspect at most
     lex = retrieval.bm25(pool, D.PROFILE.query_terms())
     lists = retrieval.ranked(pool, "semantic", "doc_id").withColumn("list", F.lit("semantic")).unionByName(retrieval.ranked(lex, "bm25", "doc_id").withColumn("list", F.lit("lexical")))
     top = retrieval.shortlist(retrieval.rrf(lists, ident="doc_id"), "rrf", "doc_id")
