@@ -108,34 +108,64 @@ def first_shared(bands: np.ndarray, of: int) -> np.ndarray:
     return out
 
 
+SMALL = 12
+
+
+def _few(sets: list[set], copies: list[int], ok, threshold: float) -> tuple[list[int], list[int]]:
+    """Numbers of links and least index of the component of each of a few sets; `ok` says whether a pair counts."""
+    m = len(sets)
+    links, label = [0] * m, list(range(m))
+    for i in range(m):
+        for j in range(i):
+            a, b = len(sets[i]), len(sets[j])
+            if min(a, b) < threshold * max(a, b) - 1e-6 or not ok(i, j):
+                continue
+            common = len(sets[i] & sets[j])
+            if common >= threshold * (a + b - common) - 1e-6:
+                links[i] += copies[j]
+                links[j] += copies[i]
+                x, y = sorted((label[i], label[j]))
+                if x != y:
+                    label = [x if v == y else v for v in label]
+    return links, label
+
+
 def _verify(threshold: float):
     """Links and ties of groups of rows (root, lo, hi, side, node, copies, grams), which come one group after another; with bands and own, only of pairs that are the group's."""
 
-    def flush(by_node: dict[int, tuple]) -> pd.DataFrame:
+    def flush(by_node: dict[int, tuple], out: list[list]) -> None:
         rows = [by_node[k] for k in sorted(by_node)]
         cut = rows[0][1] != rows[0][2]
-        side = np.array([r[3] for r in rows]) if cut else None
-        node, copies = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-        link = links_in([np.frombuffer(r[6], np.uint64) for r in rows], side, threshold)
-        if len(rows[0]) > 7 and rows[0][7] is not None:
-            link &= first_shared(np.array([r[7] for r in rows]), int(rows[0][8]))
-        return pd.DataFrame({"node": node, "links": link.astype(np.int64) @ copies, "root": node[labels_of(link)]})
+        node, own = [r[4] for r in rows], rows[0][8] if len(rows[0]) > 7 and rows[0][7] is not None else None
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        if len(rows) <= SMALL and own is None:
+            links, label = _few([set(s.tolist()) for s in sets], [r[5] for r in rows], lambda i, j: not cut or rows[i][3] != rows[j][3], threshold)
+        else:
+            link = links_in(sets, np.array([r[3] for r in rows]) if cut else None, threshold)
+            if own is not None:
+                link &= first_shared(np.array([r[7] for r in rows]), int(own))
+            links, label = (link.astype(np.int64) @ np.array([r[5] for r in rows])).tolist(), labels_of(link).tolist()
+        out[0] += node
+        out[1] += links
+        out[2] += [node[k] for k in label]
 
     def run(frames):
         key, held = None, {}
         for p in frames:
-            out = []
-            for r in p.itertuples(index=False, name=None):
+            out: list[list] = [[], [], []]
+            for r in zip(*(p[c].tolist() for c in p.columns), strict=True):
                 if r[:3] != key:
                     if held:
-                        out.append(flush(held))
+                        flush(held, out)
                     key, held = r[:3], {}
                 held.setdefault(r[4], r)  # repeated rows name a node again
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            if out[0]:
+                yield pd.DataFrame({"node": out[0], "links": out[1], "root": out[2]})
             trim()
         if held:
-            yield flush(held)
+            out = [[], [], []]
+            flush(held, out)
+            yield pd.DataFrame({"node": out[0], "links": out[1], "root": out[2]})
 
     return run
 
