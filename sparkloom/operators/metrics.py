@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.order import with_average_place
+
+MOST_CELLS = 20_000
 COMPOSITE = {"ndcg10": 0.50, "ndcg50": 0.30, "map": 0.15, "p10": 0.05}
 
 
@@ -62,11 +65,6 @@ def flagged_in_top(rows: DataFrame, tops: tuple[int, ...] = (10, 50, 100)) -> Da
     return rows.agg(*[F.coalesce(F.sum(F.when((F.col("rank") <= k) & F.col("is_honeypot"), 1).otherwise(0)), F.lit(0)).cast("long").alias(f"top{k}") for k in tops])
 
 
-def average_rank(value: str) -> Column:
-    """Place by value; equal values share the mean of their places."""
-    return F.rank().over(Window.orderBy(value)) + (F.count("*").over(Window.partitionBy(value)) - 1) / 2.0
-
-
 def pearson(x: str, y: str) -> Column:
     """0 where it isn't defined."""
     c = F.corr(x, y)
@@ -74,14 +72,16 @@ def pearson(x: str, y: str) -> Column:
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
-    return pairs.select(average_rank("a").alias("ra"), average_rank("b").alias("rb")).agg(F.when(F.count("*") < 2, 0.0).otherwise(pearson("ra", "rb")).alias("rho"))
+    """Correlation of places; equal values share the mean of theirs. 0 of fewer than two pairs."""
+    return with_average_place(with_average_place(pairs, "a", "ra"), "b", "rb").agg(F.when(F.count("*") < 2, 0.0).otherwise(pearson("ra", "rb")).alias("rho"))
 
 
 def kendall(pairs: DataFrame) -> DataFrame:
-    """Tau-b from counts of equal pairs: work grows with the square of distinct values, not of rows."""
+    """Tau-b from counts of equal pairs: work grows with the square of distinct pairs, not of rows. Made for grades; more than MOST_CELLS distinct pairs are refused."""
     g = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
     h = g.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"))
-    # Grades have few values: the cells number at most the square of these.
+    if g.limit(MOST_CELLS + 1).count() > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} distinct pairs of grades")
     x = g.join(F.broadcast(h), (F.col("a") < F.col("a2")) | ((F.col("a") == F.col("a2")) & (F.col("b") < F.col("b2"))))
     sign = F.signum(F.col("a2") - F.col("a")) * F.signum(F.col("b2") - F.col("b"))
     pairs_n = F.col("n").cast("double") * F.col("n2")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions.lexicons import WEIGHTS
+from ..functions.order import with_place
 from ..operators import behaviour, consistency, features, grading, metrics, reasoning, retrieval, sampling, scoring, sweep, text
 from . import driver as D
 from . import rank
@@ -124,7 +125,7 @@ f as (select id, min(rank) as rank from l group by id) select id::bigint as id,
 def rrf_first_position(spark, sf_dir):
     """A list in which ids repeat: later places only take up room."""
     e = D.table(spark, sf_dir, "events")
-    x = e.select(F.lit("events").alias("list"), F.col("user_id").alias("id"), F.row_number().over(Window.orderBy("event_id")).alias("rank"))
+    x = with_place(e.select(F.lit("events").alias("list"), F.col("user_id").alias("id"), "event_id"), "event_id", [])
     return retrieval.rrf(x).select("id", F.round("rrf", 9).alias("rrf"))
 
 
@@ -153,7 +154,7 @@ people as (select c_custkey, 'CAND_' || lpad(c_custkey::varchar, 7, '0') as cand
 career as (select o_custkey, count(*) as n, sum(months) as total, max(months) as longest, string_agg(title || '  ' || description, '  ' order by o_orderkey) as txt,
   count(*) filter (not is_current) as done, avg(months) filter (not is_current) as mean_done, max(title) filter (is_current) as title, max(description) filter (is_current) as description, max(start) filter (is_current) as start,
   sum((o_orderkey % 4 = 0)::int) as at_segment from roles group by o_custkey),
-skill as (select o_custkey, {_case(D.SKILLS, "p_type")} as name, l_linenumber % 3 = 0 as expert, p_size % 3 as months from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey where l_linenumber <= 2 or l_linenumber = 3 and l_quantity < 10),
+skill as (select o_custkey, l_orderkey, l_linenumber, l_partkey, {_case(D.SKILLS, "p_type")} as name, l_linenumber % 3 = 0 as expert, p_size % 3 as months from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey where l_linenumber <= 2 or l_linenumber = 3 and l_quantity < 10),
 skills as (select o_custkey, sum((lower(name) in ('nlp', 'pytorch', 'llm', 'bert'))::int) as n_skills, sum((expert and months = 0)::int) as idle from skill group by o_custkey),
 base as (select p.*, coalesce(n, 0) as n, coalesce(total, 0) as total, longest, c_name || coalesce('  ' || txt, '') as txt, coalesce(done, 0) as done, mean_done, title, description, start, coalesce(n_skills, 0) as n_skills, coalesce(idle, 0) as idle,
   case when n > 0 and c_mktsegment in ('MACHINERY', 'FURNITURE') then at_segment::double / n else 0 end as fraction from people p left join career c on c_custkey = c.o_custkey left join skills s on c_custkey = s.o_custkey),
@@ -209,12 +210,11 @@ def career_text(spark, sf_dir):
     return D.entities(spark, sf_dir).select("c_custkey", text.career_text().alias("career_text"))
 
 
-@query(f"""with {RECORDS}, lines as (select o_custkey, string_agg(title || ' at ' || case when o_orderkey % 4 = 0 then c_mktsegment else 'ACME' end || '. ' || description, chr(10) order by o_orderkey) as l from roles join customer on o_custkey = c_custkey group by o_custkey)
-select c_custkey, c_name || chr(10) || case when title is null then 'Current role: ' || c_mktsegment || '.' else 'Current role: ' || title || ' at ' || c_mktsegment || '.' end || coalesce(chr(10) || l, '') as rich_text from base left join lines on c_custkey = o_custkey""")
+@query(f"""with {RECORDS}, lines as (select o_custkey, string_agg(title || ' at ' || case when o_orderkey % 4 = 0 then c_mktsegment else 'ACME' end || '. ' || description, chr(10) order by o_orderkey) as l from roles join customer on o_custkey = c_custkey group by o_custkey),
+named as (select o_custkey, string_agg(name || case when expert then ' (expert)' else ' (beginner)' end, ', ' order by l_orderkey, l_linenumber, l_partkey) as k from skill where name is not null group by o_custkey)
+select c_custkey, c_name || chr(10) || case when title is null then 'Current role: ' || c_mktsegment || '.' else 'Current role: ' || title || ' at ' || c_mktsegment || '.' end || coalesce(chr(10) || l, '') || coalesce(chr(10) || 'Skills: ' || k, '') as rich_text from base left join lines on c_custkey = lines.o_custkey left join named on c_custkey = named.o_custkey""")
 def rich_text(spark, sf_dir):
-    """Without skills, whose order has no tie-break in the tables."""
-    x = D.entities(spark, sf_dir).withColumn("skills", F.slice("skills", 1, 0))
-    return x.select("c_custkey", text.rich_text().alias("rich_text"))
+    return D.entities(spark, sf_dir).select("c_custkey", text.rich_text().alias("rich_text"))
 
 
 @query("""select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as txt, count(*)::bigint as turns from conversations group by conv_id""")
@@ -336,7 +336,7 @@ def grades(spark, sf_dir):
 
 
 def ranking(spark, sf_dir):
-    return D.table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    return with_place(D.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", ["doc_id"], descending=True).select("doc_id", "rank")
 
 
 @query(f"with {RANKED}, {METRICS} select round(ndcg10, 6) as ndcg10, round(ndcg50, 6) as ndcg50, round(map, 6) as map, round(p10, 6) as p10, round(0.5 * ndcg10 + 0.3 * ndcg50 + 0.15 * map + 0.05 * p10, 6) as composite from m")
@@ -359,8 +359,9 @@ def grade_hist(spark, sf_dir):
 @query(f"with {SCORED}, r as (select row_number() over (order by round(final, 6), candidate_id) as rank, len(reasons) > 0 as f from scored) select " + ", ".join(f"coalesce(sum((rank <= {k} and f)::int), 0)::bigint as top{k}" for k in (10, 50, 100)) + " from r")
 def flagged_in_top(spark, sf_dir):
     """Worst first, so that there is something to count."""
-    x = scored(spark, sf_dir).withColumn("rank", F.row_number().over(Window.orderBy(F.round("final_score", 6), "candidate_id")))
-    return metrics.flagged_in_top(x)
+    order = [F.round("final_score", 6), F.col("candidate_id")]
+    x = scored(spark, sf_dir).orderBy(*order).limit(100)
+    return metrics.flagged_in_top(x.withColumn("rank", F.row_number().over(Window.orderBy(*order))))
 
 
 PAIRS = "pairs as (select (3 * quality + 1 - toxic)::double as a, (doc_id % 5)::double as b from labels where quality is not null and toxic is not null)"
