@@ -391,8 +391,7 @@ def reconcile(spark, sf_dir):
 # ---------------------------------------------------------------- grading, sampling
 
 STRATA = "strata as (select candidate_id, c_custkey, case when len(reasons) > 0 then 'suspected_honeypot' when kind = 'nontech' and n_skills >= 4 and n_areas = 0 then 'suspected_stuffer' when kind = 'strong' then 'strong_ml' when kind = 'adjacent' and n_areas > 0 then 'adjacent_gem' end as stratum from why)"
-RUBRIC = f"""
-{RECORDS},
+GRADED = """
 comp as (select *, case when years between 6 and 8 then 1.0 when years between 5 and 9 then 0.7 when years >= 4 and years < 5 or years > 9 and years <= 11 then 0.35 else 0 end as exp_c,
   case when fraction >= 0.999 then 0 else 1 - fraction end as prod_c, case when c_custkey % 90 - 1 <= 0 then 0.3 else 0.5 + 0.5 * least(1, (c_custkey % 90 - 1) / 70.0) end as gh_c from why),
 based as (select *, round(round(35 / 90 * role_substance, 4) + round(10 / 90 * exp_c, 4) + round(10 / 90 * nlp_ir_signal, 4) + round(10 / 90 * prod_c, 4) + round(5 / 90 * production_recency, 4) + round(5 / 90 * tenure_stability, 4) + round(5 / 90 * gh_c, 4) + round(10 / 90 * location_fit, 4), 4) as s from comp),
@@ -402,6 +401,7 @@ t2 as (select *, case when g1 >= 3 and not (role_substance >= 0.45 and nlp_ir_si
 t3 as (select *, least(g2, case when role_substance < 0.1 then 0 when role_substance < 0.2 then 1 when role_substance < 0.4 then 2 else 4 end, case when fraction >= 0.999 then 1 else 4 end, case when tenure < 18 and done >= 3 then 2 else 4 end, case when years < 4 or years > 12 then 2 else 4 end, case when country <> 'ASIA' and c_custkey % 4 <> 0 then 3 else 4 end) as g3 from t2),
 rubric as (select *, case when len(reasons) > 0 or (kind = 'nontech' and n_skills >= 4 and n_areas = 0) then 0 else g3 end::int as grade from t3)
 """
+RUBRIC = f"{RECORDS}, {GRADED}"
 
 
 @query(f"with {RUBRIC} select c_custkey, round(s, 3) as base_score, grade from rubric")
@@ -492,7 +492,21 @@ def sweep_rerank(spark, sf_dir):
     return sweep.reranked(_cache(spark, sf_dir), sweep.weight_grid(spark)).where("rank <= 20").select("config", "candidate_id", "rank")
 
 
-@query()
+_whole = lambda k, rank: f"sum((pow(2, rel) - 1) / log2({rank} + 1)) filter ({rank} <= {k})"
+BEST = f"""
+{SWEEP}, {GRADED},
+lots as (select candidate_id, grade, row_number() over (partition by grade order by sha256((42 + grade)::varchar || ':' || candidate_id), candidate_id) as k, count(*) over (partition by grade) as c from rubric),
+halves as (select candidate_id, grade::double as rel, case when k <= c // 2 then 'train' else 'val' end as part from lots),
+sides as (select config, part, rel, row_number() over (partition by config, part order by rr.rank) as rank from rr join halves using (candidate_id)),
+ideals as (select *, row_number() over (partition by config, part order by rel desc, rank) as ir, sum((rel >= 3)::int) over (partition by config, part order by rank) as seen from sides),
+figures as (select config, part, coalesce({_whole(10, "rank")} / nullif({_whole(10, "ir")}, 0), 0) as ndcg10, coalesce({_whole(50, "rank")} / nullif({_whole(50, "ir")}, 0), 0) as ndcg50,
+  coalesce(avg(seen / rank) filter (rel >= 3), 0) as map, sum((rel >= 3)::int) filter (rank <= 10) / least(10, count(*)) as p10 from ideals group by config, part),
+scores as (select config, part, round(0.5 * ndcg10 + 0.3 * ndcg50 + 0.15 * map + 0.05 * p10, 9) as composite from figures),
+best as (select config, max(composite) filter (part = 'train') as train, max(composite) filter (part = 'val') as val from scores group by config order by train desc, config limit 8)
+"""
+
+
+@query(f"with {BEST} select config, train, val, row_number() over (order by val desc, train desc, config) = 1 as chosen from best")
 def sweep_best(spark, sf_dir):
     """Best settings on train and the one chosen on val; grades are the rubric's."""
     g = grading.graded(records(spark, sf_dir), D.PROFILE).select("candidate_id", F.col("grade").cast("double").alias("grade"))
@@ -507,7 +521,20 @@ def faithfulness(spark, sf_dir):
     return mine.join(retrieval.ranked(c, "final_score", "candidate_id").withColumnRenamed("rank", "scorer_rank"), "candidate_id", "full")
 
 
-@query()
+POOL_BM25 = BM25.replace("from documents", "from pool")
+HYBRID = f"""
+{HITS.format(k=800)}, {BLEND}, pool as (select doc_id, text, lang, semantic from blend join documents on vec_id = doc_id), {POOL_BM25},
+sem as (select doc_id as id, row_number() over (order by round(semantic, 12) desc, doc_id) as rank from pool),
+lexi as (select doc_id as id, row_number() over (order by round(bm25, 12) desc, doc_id) as rank from bm),
+fused as (select id as doc_id, coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + s.rank), 0) as rrf from sem s full join lexi l using (id)),
+found as (select * from fused order by round(rrf, 12) desc, doc_id limit 800),
+hit as (select doc_id, rrf, lang, greatest(0, least(1, semantic)) as sim, len(list_filter(list_distinct({D.TERMS}), lambda t: regexp_matches(lower(text), '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)'))) as n from found join pool using (doc_id)),
+sub as (select *, round(0.45 * case when lang = 'en' then 1.0 else 0.25 end + 0.55 * case n when 0 then 0 when 1 then 0.5 when 2 then 0.8 else 1 end, 4)::double as role from hit),
+final as (select *, round((0.5 * role + 0.5 * sim) / 1.0, 6) as score from sub)
+"""
+
+
+@query(f"with {HYBRID} select doc_id, row_number() over (order by score desc, doc_id)::int as rank, score, role as role_substance, round(sim, 6) as semantic_sim, round(rrf, 9) as rrf from final order by rank limit 100")
 def hybrid_top100(spark, sf_dir):
     """The whole way: vectors, BM25 over the semantic pool, fusion, scores, the best hundred, with reasons."""
     docs, vec = D.table(spark, sf_dir, "documents"), D.table(spark, sf_dir, "embeddings")
