@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -225,10 +226,10 @@ class Block:
             c_hash, c_hot = mixed(c_hash[ctx] * _MUL + whole), split & is_hot[word]
 
     def sent(self, width: int, order: int):
-        """(lane, message) of each range of shards."""
-        for _, _, e in self.levels:
-            for lane, part in e.cut(width, order):
-                yield lane, e.message(part, width)
+        """(lane, message) of each range of shards, for the highest level."""
+        e = self.levels[-1][2]
+        for lane, part in e.cut(width, order):
+            yield lane, e.message(part, width)
 
 
 def build_level(e: Entries) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -337,13 +338,15 @@ def _plan(docs: DataFrame, parts: int, held: int, shard_tokens: int, fan: int):
     return blocks, hot, shards, route.hops(shards, fan)
 
 
-def _sent(blocks: DataFrame, hot: np.ndarray, shards: int, width: int, order: int) -> DataFrame:
+def _sent(blocks: DataFrame, hot: np.ndarray, shards: int, width: int, order: int, k: int) -> DataFrame:
+    """The messages of order k."""
+
     def send(batches):
         for b in batches:
             for name, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows: list[tuple] = []
                 size = 0
-                for lane, message in Block(payload.as_buffer(), order, hot, shards).sent(width, order):
+                for lane, message in Block(payload.as_buffer(), k, hot, shards).sent(width, order):
                     rows.append((lane, name, message))
                     size += len(message)
                     if size > 4 << 20:
@@ -367,13 +370,19 @@ def levels(docs: DataFrame, order: int = 3, parts: int = 7, held: int = 2, shard
         e, _ = Entries.merged([Entries.read(m, lane, 1, order) for m in p["message"]])
         return pd.DataFrame({"lane": [lane], "order": [e.k], "level": [build_level(e)[0]]})
 
-    return scratch.written(_sent(blocks, hot, shards, 1, order).groupBy("lane").applyInPandas(built, "lane long, order int, level binary"), "lm-levels", big=True)
+    sent = reduce(DataFrame.unionAll, [_sent(blocks, hot, shards, 1, order, k) for k in range(1, order + 1)])
+    return scratch.written(sent.groupBy("lane").applyInPandas(built, "lane long, order int, level binary"), "lm-levels", big=True)
 
 
 def score(docs: DataFrame, order: int = 3, parts: int = 7, held: int = 2, shard_tokens: int = 1_000_000, fan: int = route.FAN, unit: int = UNIT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     blocks, hot, shards, widths = _plan(docs, parts, held, shard_tokens, fan)
-    answers, totals = _exchange(_sent(blocks, hot, shards, widths[0], order), widths, order, unit)
+    # One order after another, so that the messages of one don't stand on disk beside those of the next.
+    parts_of = []
+    for k in range(1, order + 1):
+        parts_of.append(_exchange(_sent(blocks, hot, shards, widths[0], order, k), widths, order, unit))
+        scratch.swept(docs.sparkSession)
+    answers, totals = (reduce(DataFrame.unionAll, x) for x in zip(*parts_of, strict=True))
     n_all, v_all = (x or 0 for x in totals.agg(F.sum("n"), F.sum("v")).first())
     found = totals.select(F.inline("sums")).groupBy("k", "h").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
     split = {k: sorted((int(np.int64(r["h"]).view(np.uint64)), r["c"], r["t"]) for r in found if r["k"] == k) for k in range(2, order + 1)}

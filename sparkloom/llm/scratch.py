@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ def written(df: DataFrame, name: str, big: bool = False) -> DataFrame:
     return out
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles of plans that are done: it does so when the driver's collector finds them unused, which on an idle driver may take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
