@@ -59,7 +59,7 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     acc = np.zeros(len(h), np.uint64)
     for k in range(n):  # a window that runs past the end of its text is masked below
         nxt = np.zeros(len(h), np.uint64)
-        nxt[: len(h) - k] = h[k:]
+        nxt[: max(0, len(h) - k)] = h[k:]
         acc = acc * _MUL + nxt
     acc = mixed(acc)
     at = np.arange(len(h)) - np.repeat(starts[:-1], count)

@@ -62,7 +62,7 @@ def _grams(h: np.ndarray, n: int = N) -> np.ndarray:
     acc = np.zeros(len(h), np.uint64)
     for k in range(n):
         nxt = np.zeros(len(h), np.uint64)
-        nxt[: len(h) - k] = h[k:]
+        nxt[: max(0, len(h) - k)] = h[k:]
         acc = acc * _MUL + nxt
     return mixed(acc)
 
@@ -75,7 +75,7 @@ def paragraphs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     at, left = np.arange(len(h)) - np.repeat(starts[:-1], count), np.repeat(starts[1:], count) - np.arange(len(h))
     pair = mixed(h * _MUL + np.append(h[1:], h[:1]))
     least = left >= SPAN
-    for s in range(1, REACH + 1):
+    for s in range(1, min(REACH, len(h) - 1) + 1):
         least[s:] &= (at[s:] < s) | (pair[s:] < pair[:-s])
         least[: len(h) - s] &= (left[: len(h) - s] <= s) | (pair[: len(h) - s] <= pair[s:])
     p = np.flatnonzero(least)

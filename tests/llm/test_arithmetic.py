@@ -247,3 +247,11 @@ def test_toxic_words_are_nearer_to_the_toxic_dictionary():
 
 def test_plans_are_json():
     assert json.dumps(mixing.phases([3, 2], [1.0, 1.0], 10))
+
+
+def test_slices_of_a_few_words():
+    for n in range(8):
+        t = pa.array([" ".join(f"w{i}" for i in range(n))], pa.string())
+        starts, grams = shingles.shingles(t, 5)
+        assert len(grams) == starts[-1] == (max(1, n - 4) if n else 0)
+        assert all(len(x) == 0 for x in substr.paragraphs(t)[:4])
