@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkloom.llm import ann, avi, eliasfano, jaccard, mixing, packing, quality, shingles, substr, toxic, warc
+from sparkloom.llm import ann, avi, eliasfano, jaccard, mixing, packing, quality, shingles, substr, warc
 
 
 @settings(max_examples=60, deadline=None)
@@ -233,18 +233,6 @@ def test_positive_unlabelled_learning():
     assert ((pos @ w) > 0).mean() > 0.95 and ((neg @ w) > 0).mean() < 0.3
 
 
-def test_toxic_words_are_nearer_to_the_toxic_dictionary():
-    rng = random.Random(8)
-    common = [f"{a}{b}{c}" for a in ("ther", "ing", "ond") for b in ("ea", "ou", "st") for c in ("", "on", "ly")]
-    text = lambda bad: " ".join(rng.choice(["vilegunk", "zorpface"]) if bad and rng.random() < 0.1 else rng.choice(common) for _ in range(80))
-    m = toxic.fit([text(True) for _ in range(200)], [text(False) for _ in range(200)])
-    d = toxic.Distance(m.toxic, m.ordinary)
-    assert d(b"vilegunk") >= toxic.FAR > d(b"therouly")
-    score = lambda t: 1 / (1 + np.exp(-np.dot(toxic.features(t, d), m.weights)))
-    assert sum(score(text(True)) >= 0.7 for _ in range(50)) >= 48 and not any(score(text(False)) >= 0.7 for _ in range(50))
-    assert toxic.features(None, d) == toxic.features("", d)
-
-
 def test_plans_are_json():
     assert json.dumps(mixing.phases([3, 2], [1.0, 1.0], 10))
 

@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import zstandard as zstd
 from pyspark.sql import functions as F
 
 from sparkloom.llm.eliasfano import TrieLevel, mapped
@@ -134,6 +135,39 @@ def test_classifiers_hold_out(spark, f, label, parts, held):
     assert blind.exceptAll(got).count() == 0  # held-out labels change nothing
 
 
+def test_toxic_words_are_nearer_to_the_toxic_dictionary(spark):
+    rng = random.Random(8)
+    common = [f"{a}{b}{c}" for a in ("ther", "ing", "ond") for b in ("ea", "ou", "st") for c in ("", "on", "ly")]
+    text = lambda bad: " ".join(rng.choice(["vilegunk", "zorpface"]) if bad and rng.random() < 0.1 else rng.choice(common) for _ in range(80))
+    rows = [(i, text(i < 300)) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 300)) for i, _ in rows], "doc_id long, toxic int")
+    m = toxic.train(d, labels)
+    near = toxic.Distance(m.toxic, m.ordinary)
+    assert near(b"therouly vilegunk") >= 4 > near(b"therouly ondst")
+    assert sum(m.scores([text(True)], near)[0] >= 0.7 for _ in range(50)) >= 48 and not any(m.scores([text(False)], near)[0] >= 0.7 for _ in range(50))
+    assert m.scores([None, ""], near)[0] == m.scores([None, ""], near)[1]
+
+    # Brute force: every window of every text by a compressor of its own, counted one by one.
+    def size(dictionary, window):
+        p = zstd.ZstdCompressionParameters.from_level(12, source_size=128, dict_size=len(dictionary), min_match=4, strategy=zstd.STRATEGY_GREEDY, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+        c = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(dictionary + toxic.LEAD, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=p)
+        return len(c.compress(toxic.LEAD + b" " + window + b" " + toxic.LEAD))
+
+    few = rows[::40] + [(1000, None), (1001, ""), (1002, "One")]
+    got = {r["doc_id"]: r for r in toxic.score(spark.createDataFrame(few, "doc_id long, text string"), m, 0.7, 3, 1).collect()}
+    for i, t in few:
+        w = (t or "").lower().encode().split()
+        dist = [size(m.ordinary, x) - size(m.toxic, x) for x in (b" ".join(w[k : k + 2]) for k in range(0, len(w), 2))]
+        n = len(dist)
+        x = [1.0, sum(sorted(dist)[-3:]) / 20, math.log1p(n), sum(dist) / n if n else 0.0]
+        counts = [sum(v >= s for v in dist) for s in range(1, 8)]
+        over = [(c - n * p) / math.sqrt(n * p + 0.5) for c, p in zip(counts, m.shares, strict=True)]
+        x += [math.log1p(c) for c in counts] + [math.copysign(math.log1p(abs(v)), v) if v else 0.0 for v in over]
+        want = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, m.weights, strict=True))))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9) and got[i]["predicted"] == int(want >= 0.7) and got[i]["held_out"] == (crc(i, 3) == 1)
+
+
 # ---------------------------------------------------------------- 4
 
 
