@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
 all but the last return the columns of documents, whatever further ones there are.
 Between stages the rows are written as Parquet to the shared folder and read again.
+The order of rows counts from the mixing on: the packing reads it from the written table.
 
 A row is known by its doc_id and its text: rows that share an id but not the text are
 documents of their own in every stage, and a repeated row goes with the near duplicates.
@@ -43,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each text goes: doc_id, source, piece, start, length, bin_id, bin_offset."""
-    return packing.pack(docs)
+    """Where each piece of each text goes: doc_id, source, piece, start, length, bin_id, bin_offset. Bins in ascending order follow the order of the rows, that is the mix, shard by shard."""
+    return packing.pack(scratch.placed(docs, "__at"), order="__at")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -11,9 +11,13 @@ Items are dealt to shards by a hash of their id, about `shard_items` to each, an
 each shard is packed by itself; only ids, lengths, sources and clusters move. The
 number of half-empty bins at the end of a shard doesn't depend on the input's size.
 
+With `order`, a column of places, bins follow that order: shards are ranges of places,
+so that the bins up to the end of a shard hold just the items up to that place, and in
+a shard the bins are numbered by the place of their first item.
+
 Null or empty texts have length 0 and are placed like others. A null source or
-cluster conflicts with nothing. Equal lengths: the smaller id first, equal bins: the
-one that came first to that residual. Repeated rows are items of their own.
+cluster conflicts with nothing. Equal lengths: the smaller id (with `order`, the smaller
+place) first, equal bins: the one that came first to that residual. Repeated rows are items of their own.
 """
 
 from __future__ import annotations
@@ -80,7 +84,8 @@ def _pack_shard(capacity: int):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         shard = int(p["shard"].iloc[0])
         full = (p["length"].to_numpy() - 1).clip(0) // capacity
-        p = p.assign(full=full, rest=p["length"] - full * capacity).sort_values(["rest", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
+        ordered = "at" in p.columns
+        p = p.assign(full=full, rest=p["length"] - full * capacity).sort_values(["rest", "at" if ordered else "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
         where, offset = best_fit(p["rest"].to_numpy(), _codes(p["source"]), _codes(p["cluster"]), capacity)
         rest = pd.DataFrame({"doc_id": p["doc_id"], "source": p["source"], "piece": p["full"], "start": p["full"] * capacity, "length": p["rest"], "bin": where, "bin_offset": offset})
         n = p["full"].to_numpy()
@@ -89,15 +94,23 @@ def _pack_shard(capacity: int):
         used = int(where.max(initial=-1)) + 1
         whole = pd.DataFrame({"doc_id": p["doc_id"].to_numpy()[at], "source": p["source"].to_numpy()[at], "piece": piece, "start": piece * capacity, "length": capacity, "bin": used + np.arange(len(at)), "bin_offset": 0})
         out = pd.concat([rest, whole], ignore_index=True) if len(at) else rest
+        if ordered:
+            place, first = p["at"].to_numpy(np.int64), np.full(used + len(at), np.iinfo(np.int64).max)
+            np.minimum.at(first, out["bin"].to_numpy(), np.concatenate([place, place[at]]))
+            number = np.empty(len(first), np.int64)
+            number[np.argsort(first, kind="stable")] = np.arange(len(first))
+            out["bin"] = number[out["bin"].to_numpy()]
         return out.assign(bin_id=(np.int64(shard) << 32) + out["bin"].to_numpy(np.int64), piece=out["piece"].astype(np.int32))[["doc_id", "source", "piece", "start", "length", "bin_id", "bin_offset"]]
 
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 16384, shard_items: int = 8192, cluster: str | None = None) -> DataFrame:
-    """Places of all texts (see PACKED); lengths are characters. `cluster` names a column of duplicate clusters; without one, equal texts are a cluster."""
+def pack(docs: DataFrame, capacity: int = 16384, shard_items: int = 8192, cluster: str | None = None, order: str | None = None) -> DataFrame:
+    """Places of all texts (see PACKED); lengths are characters. `cluster` names a column of duplicate clusters; without one, equal texts are a cluster. `order` names a column of whole numbers from 0, without nulls, that bins are to follow."""
     c = F.col(cluster).cast("string") if cluster else F.when(F.length("text") > 0, F.xxhash64("text").cast("string"))
-    items = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("length"), c.alias("cluster"))
-    shards = max(1, math.ceil(docs.count() / shard_items))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)))
+    at = [F.col(order).cast("long").alias("at")] if order else []
+    items = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("length"), c.alias("cluster"), *at)
+    n = items.agg(F.coalesce(F.max("at") + 1, F.lit(0))).first()[0] if order else docs.count()
+    shards = max(1, math.ceil(n / shard_items))
+    items = items.withColumn("shard", F.expr(f"at * {shards} div {max(1, n)}") if order else F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)))
     return items.groupBy("shard").applyInPandas(_pack_shard(capacity), PACKED)

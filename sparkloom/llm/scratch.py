@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,25 @@ def written(df: DataFrame, name: str, big: bool = False) -> DataFrame:
     return out
 
 
+def placed(table: DataFrame, name: str) -> DataFrame:
+    """The rows of a Parquet table with their places in it, from 0: files by the numbers that Spark gives its parts, rows as they stand in a file. Rows that come from no table are written to one first.
+
+    Reading alone doesn't keep that order, as Spark deals files to partitions by size. The driver holds a number for each file.
+    """
+    try:
+        rows = table.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return placed(written(table, "placed"), name)
+    ends = rows.groupBy("__file").agg(F.max("__row") + 1).collect()
+    part = lambda path: int(m[1]) if (m := re.match(r"part-(\d+)", path.rsplit("/", 1)[-1])) else -1
+    files, before = [], 0
+    for path, n in sorted(ends, key=lambda r: (part(r[0]), r[0])):
+        files.append((path, before))
+        before += n
+    files = table.sparkSession.createDataFrame(files, "__file string, __before long")
+    return rows.join(F.broadcast(files), "__file").withColumn(name, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+
+
 def swept(spark: SparkSession) -> None:
     """Lets Spark delete the shuffles of plans that are done: it does so when the driver's collector finds them unused, which on an idle driver may take long."""
     gc.collect()

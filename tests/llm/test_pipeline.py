@@ -1,9 +1,10 @@
 """The stages one after another, on the smallest tables and on odd ones."""
 
 import collections
+import random
 
 import corpus_pipeline as cp
-from sparkloom.llm import quality, scratch
+from sparkloom.llm import mixing, packing, quality, scratch
 
 
 def test_stages(spark, sf_dir):
@@ -78,3 +79,31 @@ def test_stages_against_brute_force(spark, sf_dir):
     for i, t in rows(mixed):
         p = sorted(pieces[i])
         assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:], strict=False)) and sum(n for _, n in p) == len(t or "")
+
+
+def test_bins_follow_the_mix(spark):
+    """Packing keeps to the order that mixing gives: by ranges of the mix, and in a range by the bins' first items."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 60))), rng.choice("aaaaaab")) for i in range(600)]
+    docs = spark.createDataFrame([*rows, (600, "x" * 40_000, "b"), (601, None, "a")], "doc_id long, text string, source string")
+    given = mixing.mixed(docs).collect()
+    order = [r["doc_id"] for r in given]
+    at = {i: k for k, i in enumerate(order)}
+    other = scratch.written(docs, "other")  # the same rows in another order
+    tables = [scratch.written(spark.createDataFrame(spark.sparkContext.parallelize(given, 5), docs.schema), "mixed"), other]
+    for table in (tables[0], scratch.written(mixing.mixed(docs), "mixed"), mixing.mixed(docs)):
+        assert {r["doc_id"]: r["at"] for r in scratch.placed(table, "at").collect()} == at
+    pieces = [dict(cp.STAGES)["packing"](spark, t, "").collect() for t in tables]
+    first = collections.defaultdict(lambda: len(order))
+    for r in pieces[0]:
+        first[r["bin_id"]] = min(first[r["bin_id"]], at[r["doc_id"]])
+    assert [first[b] for b in sorted(first)] == sorted(first.values())
+    assert sorted(pieces[0]) != sorted(pieces[1])
+    shards = collections.defaultdict(set)
+    for r in packing.pack(scratch.placed(tables[0], "at"), shard_items=64, order="at").collect():
+        shards[r["bin_id"] >> 32].add(r["doc_id"])
+    assert len(shards) == 10
+    done: set[int] = set()
+    for s in sorted(shards):  # the bins up to a shard hold a beginning of the mix
+        done |= shards[s]
+        assert done == set(order[: len(done)]) and len(shards[s]) in (60, 61)
