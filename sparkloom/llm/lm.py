@@ -6,7 +6,9 @@ T(h) the number of distinct words after h (Witten and Bell); below the lowest or
 whose only context is the empty one, stands 1/(V+1). Each level's
 (c(hw) / (c(h) + T(h)), T(h) / (c(h) + T(h))) are the quantised values of its tries.
 
-Texts are tokenised once into blocks, rows of a table in the shared folder. A block
+Texts are tokenised once into blocks, rows of a table in the shared folder. Blocks and
+replies are dealt to buckets by the block when they are written, so that neither is
+shuffled again where they meet. A block
 sends its distinct n-grams to shards by a hash of the context, as Elias-Fano sequences;
 a shard adds them up, builds its trie level, looks every n-gram up in it by successor
 search within its context and returns codes to the blocks, which sum them over their
@@ -98,7 +100,7 @@ def tokenised(docs: DataFrame, parts: int, held: int) -> DataFrame:
 
     fold = labelled.fold("doc_id", parts) == held
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(fold, F.lit(False)).alias("o"), F.coalesce(~fold, F.lit(False)).alias("l"))
-    return scratch.written(x.mapInArrow(run, "block string, tokens long, hot array<struct<h: long, n: long>>, payload binary"), "lm-blocks", big=True)
+    return scratch.dealt([x.mapInArrow(run, "block string, tokens long, hot array<struct<h: long, n: long>>, payload binary")], "lm-blocks", "block")
 
 
 def _runs(x: np.ndarray, shard: np.ndarray | None = None) -> np.ndarray:
@@ -264,12 +266,17 @@ def _answered(e: Entries) -> tuple[np.ndarray, np.ndarray, int, int, list[dict]]
 
 
 SENT = "lane long, src string, message binary"
-REPLIES = "lane long, src string, answer binary"
-TOTALS = "n long, v long, sums array<struct<k: int, h: long, c: long, t: long>>"
+REPLIES = "lane long, src string, answer binary, n long, v long, sums array<struct<k: int, h: long, c: long, t: long>>"
 
 
-def _exchange(sent: DataFrame, widths: list[int], order: int, unit: int) -> tuple[DataFrame, DataFrame]:
-    """Replies (lane, src, answer) to messages, and totals."""
+def _replies(lane, src, answers: list[bytes], n: int, v: int, sums: list) -> pd.DataFrame:
+    """Rows of REPLIES; the first has the totals."""
+    rest = len(answers) - 1
+    return pd.DataFrame({"lane": lane, "src": src, "answer": answers, "n": [n] + [0] * rest, "v": [v] + [0] * rest, "sums": [sums] + [[]] * rest})
+
+
+def _exchange(sent: DataFrame, widths: list[int], order: int, unit: int, used: list[DataFrame]) -> DataFrame:
+    """Replies to messages, with totals: still to be written. used: gets the tables that they are read from."""
     width = widths[0]
 
     def answer(p: pd.DataFrame) -> pd.DataFrame:
@@ -284,16 +291,14 @@ def _exchange(sent: DataFrame, widths: list[int], order: int, unit: int) -> tupl
             out.append(reply(x, code[mine], other[mine]))
         del parts, e, place
         trim()
-        first = [True] + [False] * (len(out) - 1)
-        return pd.DataFrame({"lane": lane, "src": p["src"], "answer": out, "n": [n * f for f in first], "v": [v * f for f in first], "sums": [sums if f else [] for f in first]})
+        return _replies(lane, p["src"], out, n, v, sums)
 
     if width == 1:
-        found = scratch.written(sent.groupBy("lane").applyInPandas(answer, f"{REPLIES}, {TOTALS}"), "lm-answers", big=True)
-        return found.drop("n", "v", "sums"), found.select("n", "v", "sums")
-    sent = scratch.written(sent, "lm-messages", big=True)
-    size, lanes = sent.agg(F.sum(F.octet_length("message")), F.count_distinct("lane")).first()
+        return sent.groupBy("lane").applyInPandas(answer, REPLIES)
+    table = scratch.written(sent, "lm-messages", big=True)
+    size, lanes = table.agg(F.sum(F.octet_length("message")), F.count_distinct("lane")).first()
     batches = max(1, math.ceil((size or 0) / max(1, lanes) / unit))
-    sent = sent.withColumn("unit", F.concat_ws(":", "lane", F.pmod(F.xxhash64("src"), F.lit(batches))))
+    sent = table.withColumn("unit", F.concat_ws(":", "lane", F.pmod(F.xxhash64("src"), F.lit(batches))))
 
     def united(p: pd.DataFrame) -> tuple[list[Entries], Entries, np.ndarray]:
         parts = [Entries.read(m, int(p["lane"].iloc[0]), width, order) for m in p["message"]]
@@ -313,11 +318,16 @@ def _exchange(sent: DataFrame, widths: list[int], order: int, unit: int) -> tupl
             at += len(mine)
             out.append(reply(x, code[mine], other[mine]))
         trim()
-        return pd.DataFrame({"lane": p["lane"], "src": p["src"], "answer": out})
+        return _replies(p["lane"], p["src"], out, int(r["n"].sum()), int(r["v"].sum()), [x for s in r["sums"] for x in s])
 
-    replies, totals = _exchange(sent.groupBy("unit").applyInPandas(finer, SENT), widths[1:], order, unit)
-    mine = sent.groupBy("unit").cogroup(replies.withColumnRenamed("src", "unit").groupBy("unit")).applyInPandas(back, REPLIES)
-    return scratch.written(mine, "lm-answers", big=True), totals
+    below: list[DataFrame] = []
+    found = _exchange(sent.groupBy("unit").applyInPandas(finer, SENT), widths[1:], order, unit, below)
+    with scratch.swept(table.sparkSession):
+        replies = scratch.written(found, "lm-replies", big=True)
+    for x in below:
+        scratch.dropped(x)
+    used += [table, replies]
+    return sent.groupBy("unit").cogroup(replies.withColumnRenamed("src", "unit").groupBy("unit")).applyInPandas(back, REPLIES)
 
 
 def _gathered(e: Entries, replies: dict[int, bytes], width: int, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,14 +387,18 @@ def levels(docs: DataFrame, order: int = 3, parts: int = 7, held: int = 2, shard
 def score(docs: DataFrame, order: int = 3, parts: int = 7, held: int = 2, shard_tokens: int = 1_000_000, fan: int = route.FAN, unit: int = UNIT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     blocks, hot, shards, widths = _plan(docs, parts, held, shard_tokens, fan)
-    # One order after another, so that the messages of one don't stand on disk beside those of the next.
-    parts_of = []
-    for k in range(1, order + 1):
-        parts_of.append(_exchange(_sent(blocks, hot, shards, widths[0], order, k), widths, order, unit))
-        scratch.swept(docs.sparkSession)
-    answers, totals = (reduce(DataFrame.unionAll, x) for x in zip(*parts_of, strict=True))
-    n_all, v_all = (x or 0 for x in totals.agg(F.sum("n"), F.sum("v")).first())
-    found = totals.select(F.inline("sums")).groupBy("k", "h").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
+
+    def replies():
+        # One order after another, so that the messages of one don't stand on disk beside those of the next; the longest first, while there are no other replies.
+        for k in range(order, 0, -1):
+            used: list[DataFrame] = []
+            yield _exchange(_sent(blocks, hot, shards, widths[0], order, k), widths, order, unit, used)
+            for x in used:
+                scratch.dropped(x)
+
+    answers = scratch.dealt(replies(), "lm-answers", "src")
+    n_all, v_all = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
+    found = answers.select(F.inline("sums")).groupBy("k", "h").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
     split = {k: sorted((int(np.int64(r["h"]).view(np.uint64)), r["c"], r["t"]) for r in found if r["k"] == k) for k in range(2, order + 1)}
     split = {k: (np.array([x[0] for x in v], np.uint64), np.array([x[1] for x in v], float), np.array([x[2] for x in v], float)) for k, v in split.items()}
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -416,4 +430,4 @@ def score(docs: DataFrame, order: int = 3, parts: int = 7, held: int = 2, shard_
         trim()
         return pa.concat_tables(out) if out else schema.empty_table()
 
-    return blocks.select("block", "payload").groupBy("block").cogroup(answers.withColumnRenamed("src", "block").groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.select("block", "payload").groupBy("block").cogroup(answers.select(F.col("src").alias("block"), "lane", "answer").groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

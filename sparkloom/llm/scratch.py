@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -45,12 +46,19 @@ def salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, by: list
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
+#: Writer's options under which it checks sizes row by row.
+BIG_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/sparkloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, big: bool = False) -> DataFrame:
     """The rows, written to the shared folder as Parquet and read again: lineage ends here, and lost executors lose nothing. big: rows of megabytes, whose size the writer checks row by row."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/sparkloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    check = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"} if big else {}
-    df.write.options(**check).parquet(path)
+    path = _new_path(spark, name)
+    df.write.options(**(BIG_ROWS if big else {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
@@ -75,10 +83,30 @@ def placed(table: DataFrame, name: str) -> DataFrame:
     return rows.join(F.broadcast(files), "__file").withColumn(name, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
 
 
-def swept(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffles of plans that are done: it does so when the driver's collector finds them unused, which on an idle driver may take long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """What plans that end in here leave of shuffles is deleted with their end. Spark does so since 4.1; earlier ones wait for the driver's garbage, as all do outside."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def dealt(parts: Iterable[DataFrame], name: str, key: str) -> DataFrame:
+    """The rows of all parts, written one part after another to one table in the shared folder, in spark.sql.shuffle.partitions buckets by the hash of a column: grouping such tables by it moves no row again. Rows may have megabytes. The table has a name in the catalog only until it is whole."""
+    table, path = f"sparkloom_{uuid.uuid4().hex}", None
+    for part in parts:
+        spark = part.sparkSession
+        n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), path or _new_path(spark, name)
+        with swept(spark):
+            part.repartition(n, key).write.mode("append").format("parquet").bucketBy(n, key).options(path=path, **BIG_ROWS).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")
+    out._written = path
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -87,7 +115,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def dropped(table: DataFrame) -> None:
-    """Deletes a table of `written` that nothing reads any more."""
+    """Deletes a table of `written` or `dealt` that nothing reads any more."""
     _delete(table.sparkSession, table._written)
 
 

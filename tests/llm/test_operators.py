@@ -14,7 +14,7 @@ import zstandard as zstd
 from pyspark.sql import functions as F
 
 from sparkloom.llm.eliasfano import TrieLevel, mapped
-from sparkloom.llm import ann, avi, components, jaccard, lm, mixing, packing, quality, substr, toxic, warc
+from sparkloom.llm import ann, avi, components, jaccard, lm, mixing, packing, quality, scratch, substr, toxic, warc
 
 from .conftest import SCHEMA, prose, row
 
@@ -89,6 +89,27 @@ def test_lm_odd(odd, none, odd_rows):
     assert lm.score(none).count() == 0
 
 
+def test_lm_moves_messages_alone(spark, docs):
+    """Blocks and replies lie by block, so that scoring shuffles neither again; what is done with is deleted."""
+    from pathlib import Path
+
+    got = lm.score(docs, shard_tokens=2000, fan=3, unit=20_000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "Exchange" not in plan
+    at = Path(scratch.folder(spark).removeprefix("file://"), f"sparkloom-{spark.sparkContext.applicationId}")
+    assert not [p for x in ("lm-messages", "lm-replies") for p in at.glob(f"{x}-*")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sparkloom_")]
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+
+
+def test_dealt_rows(spark, none):
+    parts = [spark.range(k, 1000, 3, 4).selectExpr("cast(id % 10 as string) as k", "id as v") for k in range(3)]
+    table = scratch.dealt(iter(parts), "dealt", "k")
+    assert sorted(r["v"] for r in table.collect()) == list(range(1000))
+    assert "Exchange" not in table.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert scratch.dealt([none], "dealt", "doc_id").count() == 0
+
+
 # ---------------------------------------------------------------- 2
 
 
