@@ -8,7 +8,9 @@ import struct
 import numpy as np
 
 U = np.uint64
-_STEPS = [(U(s), U((1 << s) - 1)) for s in (32, 16, 8, 4, 2, 1)]
+_ONES, _HIGHS = U(0x0101_0101_0101_0101), U(0x8080_8080_8080_8080)
+#: Where the nth one of a byte stands, at 8 * byte + n; 0 if there is none.
+_NTH = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.uint8).reshape(-1)
 
 
 def _scatter(words: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
@@ -19,14 +21,15 @@ def _scatter(words: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
 
 
 def _nth_zero_in(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-    x, pos, r = ~word, np.zeros(len(word), np.uint64), r.astype(np.uint64)
-    for step, mask in _STEPS:
-        c = np.bitwise_count(x & mask).astype(np.uint64)
-        go = r >= c
-        r = np.where(go, r - c, r)
-        x = np.where(go, x >> step, x)
-        pos = np.where(go, pos + step, pos)
-    return pos.astype(np.int64)
+    """Position of the zero number r (from 0) of each word, which must have one: its byte by sums of ones in bytes, the rest by a table."""
+    x, r = ~word, r.astype(np.uint64)
+    sums = x - (x >> U(1) & U(0x5555_5555_5555_5555))
+    sums = (sums & U(0x3333_3333_3333_3333)) + (sums >> U(2) & U(0x3333_3333_3333_3333))
+    sums = (sums + (sums >> U(4)) & U(0x0F0F_0F0F_0F0F_0F0F)) * _ONES  # in each byte, the ones up to its end
+    at = np.bitwise_count((r * _ONES | _HIGHS) - sums & _HIGHS).astype(np.uint64) << U(3)
+    before = (sums << U(8)) >> at & U(0xFF)
+    byte = x >> at & U(0xFF)
+    return (at + _NTH[byte << U(3) | (r - before) & U(7)]).astype(np.int64)
 
 
 class EliasFano:

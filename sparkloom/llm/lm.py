@@ -179,9 +179,9 @@ def read_reply(e: Entries, data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """The distinct n-grams of a block's texts, by order; what they are only depends on the block."""
+    """The distinct n-grams of a block's texts, by order (all, or the highest alone); what they are only depends on the block."""
 
-    def __init__(self, payload: bytes, order: int, hot: np.ndarray, shards: int):
+    def __init__(self, payload: bytes, order: int, hot: np.ndarray, shards: int, last: bool = False):
         self.ids, self.out, learn, n, low, high, top, tails = _unpacked(payload)
         m, starts = len(self.ids), np.concatenate([[0], np.cumsum(n)])
         codes = top.astype(np.int64) << 16 | high.astype(np.int64) << 8 | low
@@ -203,6 +203,8 @@ class Block:
         self.levels: list[tuple[np.ndarray, np.ndarray, Entries]] = []
 
         def level(k: int, where: np.ndarray, inverse: np.ndarray, key: np.ndarray, by: np.ndarray, split: np.ndarray) -> None:
+            if last and k < order:
+                return
             shard = (mixed(by + np.uint64(k)) % np.uint64(shards)).astype(np.int64)
             count = np.bincount(inverse, trained[where], minlength=len(key)).astype(np.int64)
             o = np.argsort(key)
@@ -356,7 +358,7 @@ def _sent(blocks: DataFrame, hot: np.ndarray, shards: int, width: int, order: in
             for name, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows: list[tuple] = []
                 size = 0
-                for lane, message in Block(payload.as_buffer(), k, hot, shards).sent(width, order):
+                for lane, message in Block(payload.as_buffer(), k, hot, shards, last=True).sent(width, order):
                     rows.append((lane, name, message))
                     size += len(message)
                     if size > 4 << 20:

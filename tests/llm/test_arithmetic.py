@@ -243,3 +243,11 @@ def test_slices_of_a_few_words():
         starts, grams = shingles.shingles(t, 5)
         assert len(grams) == starts[-1] == (max(1, n - 4) if n else 0)
         assert all(len(x) == 0 for x in substr.paragraphs(t)[:4])
+
+
+def test_zeros_of_words():
+    rng = np.random.default_rng(6)
+    words = np.concatenate([rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, (1 << 64) - 2, (1 << 63) - 1, 0xFF00FF00FF00FF00], np.uint64)])
+    for word in words:
+        zeros = [i for i in range(64) if not int(word) >> i & 1]
+        assert eliasfano._nth_zero_in(np.full(len(zeros), word), np.arange(len(zeros))).tolist() == zeros
