@@ -134,16 +134,21 @@ class Entries:
     def message(self, part: slice, width: int) -> bytes:
         count = self.count[part]
         count = count.astype(np.uint8) if count.max(initial=0) < 256 else count.astype(np.uint32) if count.max() < 1 << 32 else count
-        keys = EliasFano.build(self.key[part], 1 << sum(_bits(self.k))).tobytes() if width == 1 else _packed((self.shard[part].astype(np.uint32), self.key[part]))
+        bits, shard = sum(_bits(self.k)), self.shard[part]
+        if width << bits <= 1 << 64:
+            keys = EliasFano.build((shard % width).astype(np.uint64) << np.uint64(bits) | self.key[part], width << bits).tobytes()
+        else:
+            keys = _packed((shard.astype(np.uint32), self.key[part]))
         return pickle.dumps((keys, _packed((np.packbits(self.split[part]), count))), 5)
 
     @classmethod
     def read(cls, message: bytes, lane: int, width: int, order: int) -> Entries:
         keys, rest = pickle.loads(message)
         split, count = _unpacked(rest)
-        if width == 1:
+        if width << (bits := sum(_bits(lane % order + 1))) <= 1 << 64:
             key = EliasFano.frombuffer(keys, 0)[0].all()
-            shard = np.full(len(key), lane // order, np.int64)
+            shard = lane // order * width + (key >> np.uint64(bits)).astype(np.int64)
+            key &= np.uint64((1 << bits) - 1)
         else:
             shard, key = _unpacked(keys)
             shard = shard.astype(np.int64)
